@@ -4,22 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6
+from . import decontaminate as _op6, media as _op2, mixing as _op5, perspectives as _op7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _op2.correct_types(_op2.text_media(_table(spark, sf_dir, "documents")))
+    s = F.col("sniffed")
+    payload = F.substring(F.col("media"), s["body_offset"] + 1, s["body_length"])
+    d = d.select("doc_id", "n_bytes", "media", F.col("declared").alias("media_type"), payload.alias("payload"), s["feature"].alias("feature"))
+    return d.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "media_type",
+    )
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op5.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op6.summarize(_op6.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op7.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_decontaminate": op6_decontaminate}
+    found = [op2_media, op5_mix, op6_decontaminate, op7_perspectives]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_perspectives": _op7.ORACLE_SQL}
