@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6, media as _op2, mixing as _op5, perspectives as _op7
+from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _op1.extract(_table(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _op2.correct_types(_op2.text_media(_table(spark, sf_dir, "documents")))
     s = F.col("sniffed")
@@ -44,7 +49,7 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_media, op5_mix, op6_decontaminate, op7_perspectives]
+    found = [op1_extract, op2_media, op5_mix, op6_decontaminate, op7_perspectives]
     return {f.__name__: f for f in found}
 
 
