@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7
+from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7, toxicity as _op9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,15 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op7.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _op9.score(docs, _op9.fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extract, op2_media, op5_mix, op6_decontaminate, op7_perspectives]
+    found = [op1_extract, op2_media, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
