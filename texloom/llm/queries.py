@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7, toxicity as _op9
+from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7, token_files as _op4, toxicity as _op9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op4.round_trip(_table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op5.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +66,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extract, op2_media, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity]
+    found = [op1_extract, op2_media, op4_token_files, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
