@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7, token_files as _op4, toxicity as _op9
+from . import decontaminate as _op6, html_extract as _op1, media as _op2, mixing as _op5, perspectives as _op7, substring_dedup as _op10, token_files as _op4, toxicity as _op9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op10.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extract, op2_media, op4_token_files, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity]
+    found = [op1_extract, op2_media, op4_token_files, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
