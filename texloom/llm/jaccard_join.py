@@ -199,7 +199,7 @@ def _unpacked_sets(table: pa.Table) -> list[np.ndarray]:
 def candidate_edges(kept: DataFrame, percent: int) -> DataFrame:
     """kept: class, n_shingles, shingles. Edges a, b that connect all classes that may link."""
     buckets = P.buckets(kept.sparkSession)
-    groups = 4 * buckets
+    groups = buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

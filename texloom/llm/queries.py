@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as _op6, html_extract as _op1, jaccard_join as _op3, media as _op2, mixing as _op5, perspectives as _op7, substring_dedup as _op10, token_files as _op4, toxicity as _op9
+from . import decontaminate as _op6, html_extract as _op1, jaccard_join as _op3, media as _op2, mixing as _op5, perspectives as _op7, pitman_yor as _op8, substring_dedup as _op10, token_files as _op4, toxicity as _op9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op7.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op8.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     d = _op9.score(docs, _op9.fit(docs, _table(spark, sf_dir, "labels")))
@@ -74,7 +78,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extract, op2_media, op3_jaccard_join, op4_token_files, op5_mix, op6_decontaminate, op7_perspectives, op9_toxicity, op10_substring_dedup]
+    found = [op1_extract, op2_media, op3_jaccard_join, op4_token_files, op5_mix, op6_decontaminate, op7_perspectives, op8_pitman_yor, op9_toxicity, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
