@@ -167,3 +167,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rest = d.filter(~split).withColumn("more", (F.col("extra") > 0).cast("long"))
     out = [F.col("doc").alias(id_col), "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("copies"), ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken")]
     return ranked.select(*out).unionByName(rest.select(*out))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies say. Rows with equal ids are taken equally often."""
+    mixed = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed(id_col, "_id")
+    out = docs.join(mixed, F.col(id_col).eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

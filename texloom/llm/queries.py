@@ -40,14 +40,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op3.link_components(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op4.round_trip(_table(spark, sf_dir, "documents"), _tokenizer_path())
+    return _op4.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
