@@ -39,8 +39,9 @@ from . import packed as P, words as W
 LENGTH = 13
 FILTER_BITS = 1 << 27
 _BUCKET_SALT = np.uint64(0xA24BAED4963EE407)
-#: Groups of documents for each shuffle partition in the last step.
-GROUPS = 8
+#: Groups of documents for each shuffle partition in the last step. What a bucket of hashes hands back is packed by
+#: group, so this many times the square of the partitions bounds the rows that are handed back.
+GROUPS = 1
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
