@@ -14,10 +14,11 @@ Any block is decoded alone, and within a block any run between checkpoints;
 ``decode`` steps through all runs of many blocks at once with one table lookup
 for each id.
 
-Scale: ids are counted in each task and added up, at most one row for each id
-of the vocabulary; the codebook is broadcast (bounded by the vocabulary, which
-is checked). Documents are dealt by ranges of their id once, as text; each
-task writes its own part. Starts need only one sum for each part.
+Scale: documents are dealt by ranges of their id once, as text, and encoded once;
+plain ids wait in the shared folder while they are counted. Counts are made in
+each task and added up, at most one row for each id of the vocabulary; the
+codebook is broadcast (bounded by the vocabulary, which is checked). Each task
+writes its own part. Starts need only one sum for each part.
 
 Defined cases: a null text is an empty one and has the end id alone. Documents
 stand in ascending order of their id, nulls first; rows with equal ids in order
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words as W
 from .shared import new_path
@@ -46,7 +47,7 @@ STEP = 128
 #: Ids from which on a block is full; a document is never split.
 BLOCK_IDS = 1 << 16
 #: Words whose ids a Python worker keeps at most.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 2_500_000
 MAX_VOCABULARY = 1 << 16
 
 
@@ -66,32 +67,35 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ptr = [0]
-        self.ids: list[int] = []
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
+        self.hashes = np.empty(0, np.uint64)  # sorted; of the words that are known
+        self.slots = np.empty(0, np.int64)
+        self.ptr, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        for h, e in zip(hashes.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[h] = len(self.ptr) - 1
-            self.ids += e.ids
-            self.ptr.append(len(self.ids))
-        self.arrays = None
+        """hashes: sorted and new."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        slots = np.arange(len(self.ptr) - 1, len(self.ptr) - 1 + len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lens.sum()))])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(lens)])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, slots)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each with its end id, and where each document's begin."""
         w = W.split_words(data, offsets, lower=False)
         unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > KEPT_WORDS:
+        if len(self.hashes) > KEPT_WORDS:
             self.forget()
-        new = np.array([k for k, h in enumerate(unique.tolist()) if h not in self.known], np.int64)
-        if len(new):
+        at = np.searchsorted(self.hashes, unique)
+        new = np.ones(len(unique), bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != unique[at < len(self.hashes)]
+        if new.any():
             raw = w.data.tobytes()
-            self.learn(unique[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
-        if self.arrays is None:
-            self.arrays = np.array(self.ptr, np.int64), np.array(self.ids, np.int32)
-        ptr, ids = self.arrays
-        slot = np.fromiter((self.known[h] for h in unique.tolist()), np.int64, len(unique))[back]
+            where = first[new]
+            self.learn(unique[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)])
+        ptr, ids = self.ptr, self.ids
+        slot = self.slots[np.searchsorted(self.hashes, unique)][back]
         lens = ptr[slot + 1] - ptr[slot]
         # words and document ends in one sequence
         n_docs = len(offsets) - 1
@@ -216,36 +220,14 @@ class Code:
         return out
 
 
-def count_ids(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str) -> list[tuple[int, int]]:
-    """(id, count) over all documents, by id; at most as many rows as the vocabulary has ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+BLOCK_COLUMNS = ["part", "seq", "first", "n_ids", "doc_ids", "doc_tokens", "payload"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        encoder = _encoder(shared, end_id)
-        for batch in batches:
-            for _, _, data, offsets in W.slices(batch.column(0)):
-                n = np.bincount(encoder.encode(data, offsets)[0])
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
-
-    d = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "id long, n long")
-    return sorted((r["id"], r["n"]) for r in d.groupBy("id").agg(F.sum("n").alias("n")).collect())
 
-
-def write(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> None:
-    """Writes the ids of all documents to a new folder."""
+def raw_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks in their order, their payload the plain ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
-    counts = count_ids(docs, tokenizer_json, end_id, text_col)
-    if len(counts) > MAX_VOCABULARY or max_bits > MAX_BITS:
-        raise ValueError(f"at most {MAX_VOCABULARY} ids and {MAX_BITS} bits")
-    ids, bits = np.array([i for i, _ in counts], np.int64), code_lengths(np.array([n for _, n in counts], np.int64), max_bits)
-    spark.createDataFrame(pa.table({"id": ids, "bits": bits}).to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{path}/codebook")
-    code, shared = spark.sparkContext.broadcast(Code.of(ids, bits)), spark.sparkContext.broadcast(tokenizer_json)
-    id_type = docs.schema[id_col].dataType
+    shared = spark.sparkContext.broadcast(tokenizer_json)
+    kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "tie").sortWithinPartitions("doc", "tie", "text").select("doc", "text")
 
@@ -254,13 +236,13 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 1, i
         docs_, lens, parts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            own = np.concatenate(parts)
-            payload, checks = code.value.encode(own)
-            row = [[part], [seq], [first], [len(own)], [pa.concat_arrays(docs_).to_pylist()], [np.concatenate(lens).tolist()], [payload], [checks.tobytes()], [zlib.crc32(payload)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(docs_[0].type), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()), strict=True)], BLOCK_COLUMNS)
+            ids = np.concatenate(parts)
+            row = [[part], [seq], [first], [len(ids)], [pa.concat_arrays(docs_).to_pylist()], [np.concatenate(lens).tolist()], [ids.astype("<u4").tobytes()]]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(docs_[0].type), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], BLOCK_COLUMNS)
 
         for batch in batches:
-            for a, _, data, offsets in W.slices(batch.column(1), 1 << 20):
+            for a, _, data, offsets in W.slices(batch.column(1), 1 << 21):
                 all_ids, ptr = encoder.encode(data, offsets)
                 k = 0
                 while k < len(ptr) - 1:
@@ -278,11 +260,51 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 1, i
         if held:
             yield block()
 
-    kind = id_type.simpleString()
-    d.mapInArrow(pack, f"part int, seq long, first long, n_ids long, doc_ids array<{kind}>, doc_tokens array<long>, payload binary, checkpoints binary, crc long").write.parquet(f"{path}/blocks")
+    return d.mapInArrow(pack, f"part int, seq long, first long, n_ids long, doc_ids array<{kind}>, doc_tokens array<long>, payload binary")
+
+
+def count_ids(blocks: DataFrame) -> list[tuple[int, int]]:
+    """(id, count) over all blocks, by id; at most as many rows as the vocabulary has ids."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for b in batch.column(0):
+                n = np.bincount(np.frombuffer(b.as_py(), "<u4"))
+                if len(n) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                total[: len(n)] += n
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+
+    d = blocks.select("payload").mapInArrow(count, "id long, n long")
+    return sorted((r["id"], r["n"]) for r in d.groupBy("id").agg(F.sum("n").alias("n")).collect())
+
 
+def write(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> None:
+    """Writes the ids of all documents to a new folder. Texts are encoded once: plain ids stand in the shared folder until they are counted and coded."""
+    spark = docs.sparkSession
+    plain = new_path(spark, "plain-ids")
+    raw_blocks(docs, tokenizer_json, end_id, id_col, text_col).write.option("compression", "zstd").parquet(plain)
+    blocks = spark.read.parquet(plain)
+    counts = count_ids(blocks)
+    if len(counts) > MAX_VOCABULARY or max_bits > MAX_BITS:
+        raise ValueError(f"at most {MAX_VOCABULARY} ids and {MAX_BITS} bits")
+    ids, bits = np.array([i for i, _ in counts], np.int64), code_lengths(np.array([n for _, n in counts], np.int64), max_bits)
+    spark.createDataFrame(pa.table({"id": ids, "bits": bits}).to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{path}/codebook")
+    code = spark.sparkContext.broadcast(Code.of(ids, bits))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8):
+                rows = batch.slice(k, 8)
+                coded = [code.value.encode(np.frombuffer(b.as_py(), "<u4").astype(np.int64)) for b in rows.column(6)]
+                payload = [p for p, _ in coded]
+                new = [pa.array(payload, pa.binary()), pa.array([c.tobytes() for _, c in coded], pa.binary()), pa.array([zlib.crc32(p) for p in payload], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:6], *new], [*BLOCK_COLUMNS, "checkpoints", "crc"])
 
-BLOCK_COLUMNS = ["part", "seq", "first", "n_ids", "doc_ids", "doc_tokens", "payload", "checkpoints", "crc"]
+    schema = T.StructType([*blocks.schema.fields, T.StructField("checkpoints", T.BinaryType()), T.StructField("crc", T.LongType())])
+    blocks.select(BLOCK_COLUMNS).mapInArrow(encode, schema).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, *, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
