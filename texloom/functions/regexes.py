@@ -89,11 +89,17 @@ def _one(col: Column, pattern: str, flags: frozenset[str]) -> Column:
     return col.rlike(java_regex(pattern, flags))
 
 
-def matches_spec(col: Column, spec: PatternSpec) -> Column:
-    """Whether a string matches; a null matches nothing, so its negation holds."""
+def matches_spec(col: Column, spec: PatternSpec, for_filter: bool = False) -> Column:
+    """Whether a string matches; a null matches nothing, so its negation holds.
+
+    A filter drops nulls by itself; ``for_filter`` leaves them as they are where
+    nothing is negated, so that prefixes reach the scan.
+    """
+    keep_null = for_filter and not any(spec.is_not)
     out = None
     for pattern, is_or, is_not in zip(spec.patterns, spec.is_or, spec.is_not, strict=True):
-        own = F.coalesce(_one(col, pattern, spec.flags), F.lit(False))
+        own = _one(col, pattern, spec.flags)
+        own = own if keep_null else F.coalesce(own, F.lit(False))
         own = ~own if is_not else own
         out = own if out is None else (out | own) if is_or else (out & own)
     return out

@@ -24,11 +24,11 @@ def specs(patterns: tuple[str, ...], **flags: bool) -> list[PatternSpec]:
     return [parse_pattern(p, extra=extra) for p in patterns]
 
 
-def matches(col: Column, *patterns: str, any_of: bool = False, fixed: bool = False, ignore: bool = False, word: bool = False) -> Column:
+def matches(col: Column, *patterns: str, any_of: bool = False, fixed: bool = False, ignore: bool = False, word: bool = False, for_filter: bool = False) -> Column:
     """Whether each string matches all patterns, or any of them."""
     out = None
     for spec in specs(patterns, fixed=fixed, ignore=ignore, word=word):
-        own = R.matches_spec(col, spec)
+        own = R.matches_spec(col, spec, for_filter)
         out = own if out is None else (out | own) if any_of else (out & own)
     return out
 
@@ -51,10 +51,10 @@ def which(df: DataFrame, text: str, *patterns: str, order_by: Order, by: list[st
 def get(df: DataFrame, text: str, *patterns: str, seq: bool = False, seq_unik: bool = False, **how) -> DataFrame:
     """Rows that match. ``seq``: those of the first pattern, then those of the second and so on; ``seq_unik``: without repeats of the text."""
     if not (seq or seq_unik):
-        return df.filter(matches(F.col(text), *patterns, **how))
+        return df.filter(matches(F.col(text), *patterns, for_filter=True, **how))
     out = None
     for p in patterns:
-        own = df.filter(matches(F.col(text), p, **how))
+        own = df.filter(matches(F.col(text), p, for_filter=True, **how))
         out = own if out is None else out.unionByName(own)
     return out.dropDuplicates([text]) if seq_unik else out
 
