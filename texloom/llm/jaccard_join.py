@@ -60,7 +60,7 @@ _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def set_key(s: np.ndarray) -> int:
     """Name of a set: a hash of its sorted shingles."""
-    return int(W.sequence_hash(s).view(np.int64)) if len(s) else 0
+    return int(W.list_hashes(s, np.array([0, len(s)]))[0].view(np.int64)) if len(s) else 0
 
 
 def least_overlap(size: np.ndarray | int, percent: int = PERCENT):

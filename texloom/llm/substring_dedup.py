@@ -1,4 +1,4 @@
-"""Substring dedup by level-wise doubling.
+"""Substring dedup by level-wise doubling, from half the wanted length to all of it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window of ``length`` words is
 repeated if its word sequence also starts in a document with a smaller id;
@@ -9,8 +9,9 @@ first level looks at windows of half the length (7 words for 13), and of those
 only at each full window's anchor: the part with the smallest hash. Equal
 windows have equal anchors. Anchors that more than one document has survive;
 only windows around surviving anchors are extended to the full length and
-compared exactly. ``longest_repeats`` goes on in the same way, to twice the
-length each time, until no candidates survive.
+compared exactly. No longer level is run: what a window of twice the length
+covers, its parts of ``length`` words cover too, so the result is complete once
+these are known.
 
 Scale: each level moves packed hashes, not rows: 4 bytes for an anchor (a false
 match there only keeps a candidate), 8 for a window. A task sends one entry for

@@ -113,6 +113,16 @@ def sequence_hash(word_hash: np.ndarray) -> np.uint64:
     return window_hash(word_hash, len(word_hash))[0]
 
 
+def list_hashes(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """One hash for each list values[ptr[k]:ptr[k+1]], of its values and their places."""
+    lens = np.diff(ptr)
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(values)) - np.repeat(ptr[:-1] - ptr[0], lens)).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values[ptr[0] : ptr[-1]] ^ mix(place + _WINDOW_BASE)))])
+        at = ptr - ptr[0]
+        return mix(sums[at[1:]] - sums[at[:-1]] + lens.astype(np.uint64) * _WORD_BASE)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), np.uint64)
     a = 0
