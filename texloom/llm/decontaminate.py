@@ -20,7 +20,6 @@ all of its input's.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +29,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import words as W
+from .shared import free_name
 
 #: Text bytes of benchmark items that are held at once, on the driver and on each executor.
 BLOCK_BYTES = 32 << 20
@@ -115,8 +115,7 @@ def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, blo
 
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, str, str]:
     """docs with two more columns: the spans of hit words and the items with occurring windows."""
-    taken = set(docs.columns)
-    spans_col, items_col = (next(x for k in range(len(taken) + 1) if (x := f"_{name}{k or ''}") not in taken) for name in ("spans", "items"))
+    spans_col, items_col = free_name(docs, "_spans"), free_name(docs, "_items")
     schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, _SPANS), T.StructField(items_col, T.ArrayType(T.StringType()))])
     out = docs
     for n, block in enumerate(_blocks(benchmark, window, item_col, item_text_col, block_bytes)):
@@ -218,6 +217,3 @@ def strip_spans(text: str, spans: list[list[int]]) -> str:
         at = int(w.end[b - 1])
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

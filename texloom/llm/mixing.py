@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
+from .shared import free_name
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -171,6 +172,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def take(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies say. Rows with equal ids are taken equally often."""
-    mixed = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed(id_col, "_id")
-    out = docs.join(mixed, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies, key, copy = (free_name(docs, n) for n in ("_copies", "_key", "_copy"))
+    mixed = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    out = docs.join(mixed, F.col(id_col).eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -6,7 +6,6 @@ import contextlib
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,10 +42,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cuts(spark: SparkSession, what: str, shuffled: bool = True) -> int:
-    """Partitions to deal rows to: as many as the session has for its shuffles."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def rows(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for k in range(len(taken) + 1) if (x := f"{base}{k or ''}").lower() not in taken)
