@@ -202,6 +202,43 @@ def test_pitman_yor_beats_its_base_on_held_out_text(spark):
     assert p["perplexity"] < p["base_perplexity"]
 
 
+def test_pitman_yor_word_contexts_are_brute_force(spark):
+    rng = random.Random(2)
+    chain = {w: rng.sample(range(40), 3) for w in range(40)}
+    data = []
+    for k in range(240):
+        w = [rng.randrange(40)]
+        for _ in range(rng.randrange(30)):
+            w.append(rng.choice(chain[w[-1]]))
+        data.append((k, " ".join(f"w{x}" for x in w)))
+    data += [(k + 1000, " ".join(rng.sample(t.split(), len(t.split())))) for k, t in data] + [(next(k for k in range(-1, -99, -1) if zlib.crc32(str(k).encode()) % 7 == 2), "w1 new w1 w2"), (-100, None)]
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in data}
+    data = [r for r in data if r[0] < 1000 or held[r[0]]]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in op8.score(df).collect()}
+    texts = df.select("doc_id", "text")
+    grams, n_words, n_docs = op8.open_contexts(texts, op8.ORDER, op8.CONTEXTS, 7, 2)
+    types, (d1, d2) = op8.context_types(texts, 8, 7, 2)
+    words, replies = op8.word_restaurant(texts, types, 8, spark.sparkContext.broadcast(op8.sample_speller(grams)), n_words, n_docs, 7, 2)
+    known = {int(x["h"]): x for r in replies.collect() for x in op8.P.unpack(r["packed"], op8._KNOWN)[1]}
+    unknown = next(10 ** x["score"] for x in known.values() if not x["n"])
+    assert abs(sum(10 ** x["score"] for x in known.values() if x["n"]) + unknown - 1) < 0.05
+    tokens = {k: [2, 2, *(int(h) for h in W.split_words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")])).hash), 1] for k, t in data}
+    three = collections.Counter(g for k, t in tokens.items() if not held[k] for g in zip(t, t[1:], t[2:]))
+    two = collections.Counter(g[1:] for g in three)
+    assert words.customers == len(two) and words.vocabulary == len({w for _, w in two})
+
+    def mix(counts, context, w, d, shorter):
+        dishes = [n for g, n in counts.items() if g[:-1] == context]
+        return (max(counts[(*context, w)] - d, 0) + (1 + d * len(dishes)) * shorter) / (sum(dishes) + 1)
+
+    for k in [x for x in found if held[x] or x < 0][:40] + [3, 4]:
+        want = sum(math.log10(mix(three, (u, v), w, d2, mix(two, (v,), w, d1, 10 ** known[w]["score"]))) for u, v, w in zip(tokens[k], tokens[k][1:], tokens[k][2:]))
+        assert math.isclose(found[k]["score"], want, rel_tol=1e-5)
+    per = lambda ks: sum(found[k]["score"] for k in ks) / sum(found[k]["n_tokens"] for k in ks)
+    assert per([k for k in found if 0 <= k < 1000 and held[k]]) > per([k for k in found if k >= 1000]) + 0.2
+
+
 def test_seating_grows_with_customers():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000])
