@@ -275,6 +275,23 @@ def test_toxicity_learns_and_restores(spark):
     assert {r["doc_id"] for r in op9.reject(df, lb).collect()} == {k for k, s in found.items() if s < 0.3}
 
 
+def test_toxicity_reads_long_spans_to_their_end(spark):
+    words = ["the", "and", "idiom", "lost", "cloud", "stream", "paper", "window", "matter", "green", "table", "orange", "caf\u00e9"]
+    rng = random.Random(6)
+    data = [(k, " ".join(rng.choices(words, k=25) + (["idiot"] if k % 5 == 0 else []))) for k in range(900)]
+    labels = [(k, 0, int(k % 5 == 0)) for k in range(900)]
+    spaced = lambda *w: " ".join("".join(w))
+    clean = "the window stream paper orange".split()
+    data += [(1000, spaced(*clean, "idiot")), (1001, spaced(*clean, "cloud")), (1002, spaced(*clean * 20, "idiot", *clean)), (1003, "-".join([*clean * 2, "1d10t"])), (1004, "i" * 80 + "diot"), (1005, spaced("caf\u00e9"))]
+    df, lb = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = op9.fit(df, lb)
+    found = {r["doc_id"]: r["s"] >= 0.3 for r in op9.score(df, model, out_col="s").filter("doc_id >= 1000").collect()}
+    assert found == {1000: True, 1001: False, 1002: True, 1003: True, 1004: True, 1005: False}
+    assert op9.restore_text(spaced("caf\u00e9") + " table", model.chars) == "caf\u00e9 table"
+    for k in (1000, 1001, 1002):
+        assert op9.restore_text(data[k - 100][1] + " table", model.chars).replace(" ", "") == data[k - 100][1].replace(" ", "") + "table"
+
+
 def test_media_round_trip(docs, rows):
     d = op2.correct_types(op2.text_media(docs))
     s = F.col("sniffed")
