@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from texloom.operators.row import BUILTIN, Val
 from texloom.plans.chain import ChainError, GroupOps, IfOps, OpCall, parse_chain, split_bar
 from texloom.plans.pattern import PatternError, parse_pattern
 from texloom.plans.template import TemplateError, expressions, parse_template, variables
+from texloom.queries import QUERIES, SQL
 
 
 def S(x):
@@ -237,3 +239,18 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["signif_all", "frequent_words_all"])
+def test_whole_tables_equal_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for table in ("part", "documents"):
+        c.sql(f"create view {table} as select * from '{d}/{table}.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, d).collect()]
+    assert got and sorted(got) == sorted(c.sql(SQL[name]).fetchall())
+
+
+def test_stop_words_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert QUERIES["stopwords_drop"](spark, "/root/testdata/sf0.001").count() == docs.count()

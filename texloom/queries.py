@@ -36,6 +36,13 @@ def frequent_words(t):
     return C.top(C.freq_table(C.get_in(words, "word", STOPWORDS, negate=True), "word").select("word", "n"), 20, [F.desc("n"), "word"])
 
 
+@query(_WORDS.replace(" WHERE lang = 'en'", "") + f"SELECT word, count(*) AS n FROM w WHERE word <> '' AND word NOT IN ({', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in STOPWORDS)}) GROUP BY word ORDER BY n DESC, word LIMIT 20")
+def frequent_words_all(t):
+    d = t("documents").select(A.ops("text", "lower, ws.punct").alias("text"))
+    words = C.rm(C.split_rows(d, "text", " ", out="word"), "word")
+    return C.top(C.freq_table(C.get_in(words, "word", STOPWORDS, negate=True), "word").select("word", "n"), 20, [F.desc("n"), "word"])
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'w') AND NOT regexp_matches(lower(p_name), 'cold')")
 def is_logic(t):
     return t("part").filter(A.matches(F.col("p_name"), "i/W & !COLD")).select("p_partkey", "p_name")
@@ -278,7 +285,9 @@ def template_recycle(t):
 
 @query()
 def stopwords_drop(t):
-    return t("documents").filter("lang = 'en'").select("doc_id", A.ops("text", "stopwords, ws").alias("text"))
+    # the words are English: other documents keep theirs
+    text = F.when(F.col("lang") == "en", A.ops("text", "stopwords, ws")).otherwise(A.ops("text", "ws"))
+    return t("documents").select("doc_id", text.alias("text"))
 
 
 @query()
@@ -297,6 +306,12 @@ def signif(t):
     return d.select("p_partkey", A.ops("p_retailprice", "s4.r0", df=d).alias("x"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_retailprice >= 1000 OR p_retailprice = floor(p_retailprice) THEN format('{:,}', floor(p_retailprice)::BIGINT) ELSE floor(p_retailprice)::BIGINT || '.' || left(lpad(((p_retailprice - floor(p_retailprice)) * 1000000)::BIGINT::VARCHAR, 6, '0'), 4 - length(floor(p_retailprice)::BIGINT::VARCHAR)::INT) END AS x FROM part")
+def signif_all(t):
+    d = t("part")
+    return d.select("p_partkey", A.ops("p_retailprice", "s4.r0", df=d).alias("x"))
+
+
 @query("SELECT p_partkey, reverse(p_name) AS rev, p_name || p_name AS twice, array_to_string(list_transform(string_split(p_name, ''), lambda c: c || c), '') AS each FROM part")
 def rev_each_times(t):
     return t("part").select("p_partkey", A.ops("p_name", "''s, rev, ''c").alias("rev"), A.ops(F.array("p_name"), "2 times.c", array=True).alias("twice"), A.ops("p_name", "''s, 2 each.c").alias("each"))
