@@ -22,6 +22,16 @@ def test_broken_pages(html, text):
     assert op1.extract_text(html) == text
 
 
+def test_all_content_of_a_page():
+    p = "<p>A long paragraph, with several sentences. It goes on, and on, for a while, and says little.</p>"
+    lead = "<p>A lead, beside the post, that is content as well. It has its own sentences, two of them.</p>"
+    assert op1.extract_text(f"<body><div id=content><div>{lead}</div><div class=post>{p * 8}</div></div></body>").startswith("A lead")
+    two = op1.extract_text(f"<body><article>{p * 6}</article><article><p>The second one.</p>{p * 4}</article></body>")
+    assert "The second one." in two and two.count("A long") == 10
+    linked = "<p><a href=x>A paragraph that is one link, in the text, of some length.</a></p>"
+    assert "one link" in op1.extract_text(f"<body><article>{p * 4}{linked}{p * 4}</article></body>")
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None)]
     out = op1.extract(spark.createDataFrame(rows, "page_id long, url string, html string, other string")).collect()

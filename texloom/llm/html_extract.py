@@ -5,9 +5,10 @@ block-level tags. Per path the text length, the punctuation and the number of
 nodes are aggregated; the two ratios (length and punctuation per node) are
 smoothed over neighbouring paths, weighted by how much of the path they share,
 and fused by their geometric mean. Paths whose fused ratio reaches a share of
-the deviation over the page's nodes hold content. The element that holds
-nearly all content text is the article; its blocks are returned in page order,
-without boilerplate elements (menus, forms, adverts, notices, comments).
+the deviation over the page's nodes hold content. The innermost element that holds
+all content (or all articles, if they have half of the content) is the article;
+its blocks are returned in page order, without boilerplate elements (menus,
+forms, adverts, notices, comments) and without links off the paths with content.
 
 Scale: pages are mapped one by one; nothing is shuffled or broadcast. Parsing is
 linear in the page.
@@ -33,8 +34,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 LAMBDA = 0.8
 #: Paths to each side that smooth a path.
 SMOOTH = 2
-#: The article is the innermost element with this share of the content text.
-ARTICLE_SHARE = 0.8
 #: Blocks in the article with more link text than this, on paths without content, aren't content.
 LINK_SHARE = 0.6
 
@@ -46,7 +45,6 @@ _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fi
 _SCOPE = frozenset("article aside body blockquote button details div fieldset figure footer form header html main nav section table td th caption li".split())
 #: Elements of these tags end where one of these starts, up to the boundary tags.
 _ENDS_BY = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "body": (("head",), ("html",))}
-_HOLDERS = frozenset("html body div section main article td table tbody tr".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tooltip".split())
 #: Words in a class or id that mark boilerplate.
 _MARKS = re.compile(
@@ -266,29 +264,37 @@ def select(page: Page, lam: float = LAMBDA) -> list[Block]:
     values = [scores[b.path] for b in blocks]
     mean = sum(values) / len(values)
     limit = lam * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    content = [b for b, v in zip(blocks, values, strict=True) if v >= limit and b.linked <= LINK_SHARE * len(b.text)] or blocks
-    mass: dict[int, int] = {}
-    for b in content:
-        k = b.node
+    over = {id(b) for b, v in zip(blocks, values, strict=True) if v >= limit}
+    content = [b for b in blocks if id(b) in over and b.linked <= LINK_SHARE * len(b.text)] or blocks
+
+    def ups(k: int) -> list[int]:
+        """k and the elements that hold it, outermost first."""
+        out = []
         while k >= 0:
-            mass[k] = mass.get(k, 0) + len(b.text)
+            out.append(k)
             k = page.nodes[k].parent
-    total, article = mass[0], 0
-    for k, n in mass.items():
-        if k and page.nodes[k].tag in ("article", "main") and n >= total / 2 and (page.nodes[article].tag not in ("article", "main") or page.nodes[article].tag == "main" or n > mass[article]):
-            article = k
-    while not article or page.nodes[article].tag not in ("article", "main"):
-        inner = [k for k, n in mass.items() if page.nodes[k].parent == article and n >= ARTICLE_SHARE * total and (page.nodes[k].tag in _HOLDERS or page.nodes[k].tag in _INLINE)]
-        if not inner:
-            break
-        article = inner[0]
-    chosen = set(map(id, content))
+        return out[::-1]
+
+    def within(tags: tuple[str, ...]) -> dict[int, int]:
+        """Content text of the outermost elements of these tags."""
+        mass: dict[int, int] = {}
+        for b in content:
+            k = next((k for k in ups(b.node) if page.nodes[k].tag in tags), 0)
+            if k:
+                mass[k] = mass.get(k, 0) + len(b.text)
+        return mass
+
+    total = sum(len(b.text) for b in content)
+    held = next((m for m in map(within, (("article",), ("main",))) if m and 2 * sum(m.values()) >= total), None)
+    article, *others = map(ups, held or [b.node for b in content])
+    for o in others:
+        article = article[: next((k for k, (x, y) in enumerate(zip(article, o)) if x != y), min(len(article), len(o)))]  # noqa: B905
+    regions = set(held or article[-1:])
     out = []
     for b in blocks:
-        k = b.node
-        while k > article:
-            k = page.nodes[k].parent
-        if k == article and (id(b) in chosen or b.linked <= LINK_SHARE * len(b.text)):
+        around = ups(b.node)
+        plain = b.linked <= LINK_SHARE * len(b.text) and not regions.isdisjoint(around)
+        if plain or id(b) in over and article[-1] in around:
             out.append(b)
     return out
 
