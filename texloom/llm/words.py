@@ -2,13 +2,18 @@
 
 Everything works on the UTF-8 bytes of a whole batch with numpy, so the cost
 per word is a few vector operations and no Python object is made per word.
-Hashes are 64 bits, fixed by the constants below, and equal on all machines.
+Hashes are 64 bits, fixed by the constants below, and equal on all machines. A
+word is folded eight bytes at a time, every step of which multiplies and shifts,
+so that no pattern of repeated bytes cancels out; windows are folded by doubling
+in the same way. ``same_bytes`` compares what hashes say is equal.
 Memory is bounded by ``SLICE_BYTES`` of text at a time (or the longest single
 document, if that is longer).
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +22,15 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once.
 SLICE_BYTES = 4 << 20
-#: Bytes whose hash terms are held at once.
-_HASH_BYTES = 1 << 20
+#: Bytes of a word from which on it is hashed by itself, by BLAKE2.
+_LONG = 256
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 _WINDOW_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Of the bytes of a word's last eight that belong to it, by their number less one.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,19 +42,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_TERM = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = 1 << max(8, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size - 1, _WORD_BASE, np.uint64))])
-    return _POWERS
-
-
 def _byte_table(keep: str) -> np.ndarray:
     """256 booleans: which bytes belong to words."""
     table = np.zeros(256, bool)
@@ -63,6 +57,10 @@ def _byte_table(keep: str) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 TABLES = {k: _byte_table(k) for k in ("nonspace", "alnum")}
 
 
@@ -97,15 +95,23 @@ class Words:
         return first, acc[first]
 
 
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    with np.errstate(over="ignore"):
+        return mix(a * _WORD_BASE + (b ^ _WINDOW_BASE))
+
+
 def window_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-word windows of one sequence of word hashes."""
+    """Hashes of all n-word windows of one sequence of word hashes: of halves by doubling, then of the two that cover n words."""
     count = max(0, len(word_hash) - n + 1)
-    acc = np.zeros(count, np.uint64)
+    if not count:
+        return np.empty(0, np.uint64)
+    h, size = word_hash, 1
+    while 2 * size <= n:
+        h = fold(h[: len(h) - size], h[size:])
+        size *= 2
     with np.errstate(over="ignore"):
-        for k in range(n):  # Horner, so that the order of words counts
-            acc *= _WINDOW_BASE
-            acc += word_hash[k : k + count]
-        return mix(acc + np.uint64(n))
+        return fold(h[:count], h[n - size : n - size + count] + np.uint64(n))
 
 
 def sequence_hash(word_hash: np.ndarray) -> np.uint64:
@@ -123,22 +129,52 @@ def list_hashes(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         return mix(sums[at[1:]] - sums[at[:-1]] + lens.astype(np.uint64) * _WORD_BASE)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; seven more bytes than the text has are read."""
+    room = np.empty(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    room[len(data) :] = 0
+    return np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.uint64)
-    a = 0
+    """Hashes of the words data[start[j]:end[j]]."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    lens = end - start
+    eights = _eights(data)
     with np.errstate(over="ignore"):
-        while a < len(start):
-            b = max(a + 1, int(np.searchsorted(end, start[a] + _HASH_BYTES)))
-            lens = end[a:b] - start[a:b]
-            offs = np.concatenate([[0], np.cumsum(lens)])
-            pos = np.arange(offs[-1]) - np.repeat(offs[:-1], lens)
-            terms = _BYTE_TERM[data[np.repeat(start[a:b], lens) + pos]]
-            terms *= _powers(int(lens.max()))[pos]
-            out[a:b] = mix(np.add.reduceat(terms, offs[:-1]) + lens.astype(np.uint64))
-            a = b
+        out = lens.astype(np.uint64) * _WORD_BASE
+        first = eights[start] & _TAIL[np.minimum(lens, 8) - 1]
+        out = mix(out ^ first * _M1)
+        live = np.flatnonzero((lens > 8) & (lens <= _LONG))
+        at = 8
+        while len(live):
+            left = lens[live] - at
+            out[live] = fold(out[live], eights[start[live] + at] & _TAIL[np.minimum(left, 8) - 1])
+            at += 8
+            live = live[left > 8]
+    for k in np.flatnonzero(lens > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other_data: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of the word at its place in the other list."""
+    eights = _eights(data)
+    others = eights if other_data is data else _eights(other_data)
+    lens = end - start
+    same = lens == other_end - other_start
+    live, at = np.flatnonzero(same & ((start != other_start) | (other_data is not data))), 0
+    while len(live):
+        left = lens[live] - at
+        equal = (eights[start[live] + at] ^ others[other_start[live] + at]) & _TAIL[np.minimum(left, 8) - 1] == 0
+        same[live[~equal]] = False
+        live = live[equal & (left > 8)]
+        at += 8
+    return same
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, keep: str = "nonspace", lower: bool = True, hashes: bool = True) -> Words:
     """Words of the documents data[offsets[k]:offsets[k+1]]."""
     base = int(offsets[0])
@@ -188,6 +224,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield a, b, data, offsets[a : b + 1]
         a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Hands free memory back to the system: Python workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def shingles(words: Words, n: int) -> list[np.ndarray]:
