@@ -113,20 +113,28 @@ def test_targets_reshare_the_excess():
     assert t["b"] == 30 and t["a"] + t[None] == 1080 and t[None] == 3 * t["a"]
 
 
-def test_fit_is_subset_sum():
+@pytest.mark.parametrize("width", [1, 8, 64, op5.WIDTH])
+def test_fit_is_subset_sum(width):
     rng = random.Random(4)
-    for _ in range(60):
-        sizes = sorted(rng.sample(range(1, 30), 5))
-        counts = [rng.randint(0, 4) for _ in sizes]
+    for k in range(300):
+        unit = rng.choice([1, 1, 2, 7])
+        sizes = [unit * s for s in sorted(rng.sample(range(0, 60), 5))]
+        counts = [rng.choice([0, 1, 2, 4, 30]) for _ in sizes]
         budget = rng.randrange(0, sum(s * n for s, n in zip(sizes, counts)) + 3)
-        taken = op5.fit(sizes, counts, budget)
+        taken = op5.fit(sizes, counts, budget, width)
         assert all(0 <= t <= n for t, n in zip(taken, counts))
         reach = {0}
         for s, n in zip(sizes, counts):
             reach = {x + s * k for x in reach for k in range(n + 1)}
-        best = max(x for x in reach if x <= budget)
-        total = sum(s * t for s, t in zip(sizes, taken))
-        assert total <= budget and budget - total <= max(sizes) and (best - total) <= max(sizes)
+        assert sum(s * t for s, t in zip(sizes, taken)) == max(x for x in reach if x <= budget)
+
+
+def test_fit_of_large_budgets_and_few_long_documents():
+    assert op5.fit([3, 10**6], [1, 3], 2 * 10**6 - 1) == [1, 1]
+    assert op5.fit([5 * 10**5, 10**6 - 1, 10**6 + 1], [0, 2, 2], 2 * 10**6) == [0, 1, 1]
+    sizes = list(range(1, 4000))
+    taken = op5.fit(sizes, [50] * len(sizes), 10**8 + 1)
+    assert sum(s * t for s, t in zip(sizes, taken)) == 10**8 + 1
 
 
 def test_mix_meets_its_targets(spark):

@@ -6,17 +6,22 @@ total size by weight; a target stops at ``max_epochs`` times its source's size
 and the excess is shared again by weight.
 
 For each source the mix takes whole epochs first. What is left of the budget
-is fitted over the histogram of exact sizes: every size gives its share of
+is fitted over the histogram of exact sizes: sizes give their share of
 documents, and a bounded-knapsack dynamic programme over the remaining
-documents brings the sum as near to the target from below as it can. Which
-documents of a size are taken is decided by a seeded hash, so reruns agree.
-
-Scale: documents are counted by (source, size) with map-side partial sums; the
-histogram of one source has at most as many rows as there are different
-sizes, and the programme's width is bounded by ``width``. Hash ranks are taken
-within buckets of about ``bucket_rows`` documents of one (source, size), so
-that a source or size with a third of all rows is dealt to many tasks. The
-driver gets one row for each source.
+documents finds the sum nearest to the budget from below. If that sum isn't the
+budget itself (or its largest part that the sizes' common divisor divides), more
+documents are handed to the programme, in the end all, so that the fit is the
+best there is. Which documents of a size are taken is decided by a seeded hash,
+so reruns agree.
+
+Scale: texts are read once, to count words; ids, sources and sizes are written to
+the shared folder. Documents are counted by (source, size) with map-side partial
+sums; the histogram of one source has at most as many rows as there are different
+sizes. The plan is broadcast if it has at most ``BROADCAST_ROWS`` rows, and joined
+by key otherwise. The programme starts with ``width`` cells; only budgets that it
+can't meet make it grow. Hash ranks are taken within buckets of about
+``bucket_rows`` documents of one (source, size), so that a source or size with a
+third of all rows is dealt to many tasks. The driver gets one row for each source.
 
 Defined cases: a null or blank text has size 0 and takes 0. A null source is a
 source of its own. Rows with equal ids are told apart by nothing but their
@@ -26,6 +31,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .shared import free_name
+from .shared import cut, free_name
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 WIDTH = 1 << 17
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 250
+#: Rows of a plan that is broadcast, at most: some 60 bytes each.
+BROADCAST_ROWS = 200_000
 _PLAN = "source string, no_source boolean, size long, n long, epochs long, extra long, source_size long, target double"
 
 
@@ -63,53 +71,63 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 
 def fit(sizes: list[int], counts: list[int], budget: int, width: int = WIDTH) -> list[int]:
-    """How many documents of each size to take so that their sum comes as near below ``budget`` as found.
-
-    Every size first gives its proportional share, rounded down. If what is
-    then left is wider than ``width``, the largest sizes that still fit are
-    added one by one; the programme fits the rest exactly where it can.
-    """
+    """How many documents of each size to take so that their sum comes as near to ``budget`` as any can that isn't over it."""
     total = sum(s * n for s, n in zip(sizes, counts, strict=True))
     if budget >= total:
         return list(counts)
     if budget <= 0:
         return [0] * len(sizes)
-    taken = [n * budget // total for n in counts]
+    unit = math.gcd(*(s for s, n in zip(sizes, counts, strict=True) if n))
+    sizes, budget, total = [s // unit for s in sizes], budget // unit, total // unit
+    while True:
+        taken, left = _shares(sizes, counts, budget, total, width)
+        if left <= width:
+            more = _programme(sizes, [n - t for n, t in zip(counts, taken, strict=True)], left)
+            if budget <= width or sum(s * n for s, n in zip(sizes, more, strict=True)) == left:
+                return [t + n for t, n in zip(taken, more, strict=True)]
+        width *= 8
+
+
+def _shares(sizes: list[int], counts: list[int], budget: int, total: int, width: int) -> tuple[list[int], int]:
+    """Documents of each size by its share of what exceeds half the width, none if all fits the width; and the budget left."""
+    if budget <= width:
+        return [0] * len(sizes), budget
+    taken = [n * (budget - width // 2) // total for n in counts]
     left = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
-    order = sorted((k for k in range(len(sizes)) if sizes[k] > 0), key=lambda k: -sizes[k])
-    while left > width // 2:
-        before = left
-        for k in order:
-            if left > width // 2 and (more := min(counts[k] - taken[k], -(-(left - width // 2) // sizes[k]), left // sizes[k])) > 0:
-                taken[k] += more
-                left -= more * sizes[k]
-        if left == before:
-            break
-    if left > width:  # what is left are documents longer than the rest of the budget
-        return taken
-    # reach[x]: the first piece that reached sum x; pieces are size * 2^j documents
-    mask, reached = (1 << (left + 1)) - 1, 1
-    by = np.full(left + 1, -1, np.int64)
+    for k in sorted((k for k in range(len(sizes)) if sizes[k] > 0), key=lambda k: -sizes[k]):
+        if left > width:  # what rounding down left over
+            more = min(counts[k] - taken[k], (left - width // 2) // sizes[k])
+            taken[k] += more
+            left -= more * sizes[k]
+    return taken, left
+
+
+def _programme(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """The best sum of at most ``budget``, by bounded knapsack."""
+    out = [0] * len(sizes)
+    # by[x]: the first piece that reached sum x; pieces are size * 2^j documents
+    mask, reached = (1 << (budget + 1)) - 1, 1
+    by = np.full(budget + 1, -1, np.int32)
     pieces: list[tuple[int, int]] = []
-    for k in order:
-        free, step = min(counts[k] - taken[k], left // sizes[k]), 1
+    for k in sorted((k for k in range(len(sizes)) if sizes[k] > 0), key=lambda k: -sizes[k]):
+        free, step = min(counts[k], budget // sizes[k]), 1
         while free > 0:
             part = min(step, free)
             new = ((reached << (part * sizes[k])) & mask) & ~reached
             if new:
-                bits = np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8)
-                by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: left + 1])] = len(pieces)
+                bits = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: budget + 1])] = len(pieces)
                 reached |= new
             pieces.append((k, part))
             free, step = free - part, step * 2
-        if reached >> left & 1:
+        if reached >> budget & 1:
             break
     x = reached.bit_length() - 1
     while x > 0:
         k, part = pieces[by[x]]
-        taken[k] += part
+        out[k] += part
         x -= part * sizes[k]
-    return taken
+    return out
 
 
 def word_count(text: Column) -> Column:
@@ -151,10 +169,10 @@ def plan(hist: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, width: int = WIDTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per row of docs: id, size, source_size, target, copies (how often the mix takes it) and taken (copies * size)."""
-    d = sized(docs, id_col, text_col, source_col)
+    d = cut(sized(docs, id_col, text_col, source_col), "sizes")
     keys = ["source", "no_source", "size"]
-    steps = plan(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), weights=weights, max_epochs=max_epochs, width=width)
-    d = d.join(steps, keys).withColumn("rank", F.xxhash64(F.lit(seed), "doc"))
+    steps = cut(plan(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), weights=weights, max_epochs=max_epochs, width=width), "mix-plan")
+    d = d.join(F.broadcast(steps) if steps.count() <= BROADCAST_ROWS else steps, keys).withColumn("rank", F.xxhash64(F.lit(seed), "doc"))
     d = d.withColumn("bucket", F.shiftrightunsigned(F.col("rank"), 33) % F.ceil(F.col("n") / bucket_rows))
     # Only sizes of which some documents are taken once more and some aren't need ranks.
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
