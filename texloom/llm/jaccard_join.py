@@ -31,7 +31,8 @@ unbounded reaches the driver, and no group is expanded into all its pairs.
 
 Defined cases: a null text has no words. Null ids are kept, and rows with equal
 ids are documents of their own that share the id. Other columns aren't read.
-64-bit hashes stand for shingles and sets.
+64-bit hashes stand for shingles and sets; words and windows are hashed
+non-linearly, so that only chance makes two alike.
 """
 
 from __future__ import annotations
@@ -40,11 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import packed as P, words as W
 from .components import components
-from .shared import cut
+from .shared import cut, free_name
 
 SHINGLE, PERCENT = 5, 75
 BLOCK_ROWS = 3000
@@ -356,24 +357,44 @@ def _verified(kept: DataFrame, blocks: DataFrame, percent: int, block_rows: int)
     return d.select("class", "shingles", "block", "own", "low", "high").groupBy("block", "low", "high").applyInArrow(verify, "a long, b long")
 
 
+def _linked(texts: DataFrame, sets: DataFrame, shingle: int, percent: int, block_rows: int, filter_bits: int) -> DataFrame:
+    """class, component of all classes that link to another; a component is named by one of its classes."""
+    wanted = cut(linkable(texts, sets, shingle, percent), "linkable")
+    kept = cut(members(texts, wanted, shingle, filter_bits), "members")
+    blocks = components(candidate_edges(kept, percent))
+    return components(_verified(kept, blocks, percent, block_rows)).withColumnRenamed("node", "class")
+
+
+def _first(sets: DataFrame, found: DataFrame, least: Column) -> DataFrame:
+    """class, first: the least value in each class's component. Values are compared within classes, then within components, so that neither a class nor a component is gathered; joins have nothing above them that would keep a hot key in one task."""
+    own = cut(sets.filter("n_shingles > 0").groupBy("class").agg(F.min(least).alias("first")), "firsts")
+    named = own.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    of_component = named.groupBy("component").agg(F.min("first").alias("all_first"))
+    return named.join(of_component, "component").select("class", F.col("all_first").alias("first"))
+
+
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id that links reach)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(classes(texts, shingle), "classes")
-    wanted = cut(linkable(texts, sets, shingle, percent), "linkable")
-    kept = cut(members(texts, wanted, shingle, filter_bits), "members")
-    blocks = components(candidate_edges(kept, percent))
-    found = components(_verified(kept, blocks, percent, block_rows))
-    named = sets.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = _linked(texts, sets, shingle, percent, block_rows, filter_bits)
+    first = cut(_first(sets, found, F.col("id")), "components")
     words = F.col("n_shingles") > 0
-    low = named.filter(words).groupBy("component").agg(F.min("id").alias("low"))
-    out = named.filter(words).join(low, "component").select("id", "n_shingles", F.col("low").alias("component_id"))
-    out = out.unionByName(named.filter(~words).select("id", "n_shingles", F.col("id").alias("component_id")))
+    out = sets.filter(words).join(first, "class").select("id", "n_shingles", F.col("first").alias("component_id"))
+    out = out.unionByName(sets.filter(~words).select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.withColumnRenamed("id", id_col)
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Documents without words all stay."""
-    found = link_components(docs, id_col=id_col, text_col=text_col, **options)
-    later = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_later")).distinct()
-    return docs.join(later, F.col(id_col) == F.col("_later"), "left_anti")
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (nulls last), and of several with that id one.
+
+    Rows are numbered in a table of the shared folder, so rows that repeat, or
+    share an id, are told apart. Rows without words all stay.
+    """
+    row = free_name(docs, "_row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = cut(classes(texts, shingle), "classes")
+    first = cut(_first(sets, _linked(texts, sets, shingle, percent, block_rows, filter_bits), F.col("id")), "components")
+    later = sets.join(first, "class").filter(F.col("id.row") != F.col("first.row")).select(F.col("id.row").alias(row))
+    return rows.join(later, row, "left_anti").select(*docs.columns)
