@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from texloom.llm import decontaminate as op6, jaccard_join as op3, media as op2, mixing as op5, pitman_yor as op8, substring_dedup as op10, token_files as op4, toxicity as op9, words as W
 from texloom.llm.components import components
+from texloom.llm.seating import Seats
 from tests.llm import fixtures as X
 
 
@@ -205,7 +206,11 @@ def test_pitman_yor_base_is_brute_force(docs, rows):
     n, v = sum(c.values()), len(c)
     want = X.ordered((r[0], h, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 6)) for r, t, h in zip(rows, tokens, held))
     assert X.ordered((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
-    assert all(r["score"] < 0 and r["spelled_score"] <= r["score"] + 1e-9 for r in found)
+    assert all(r["score"] < 0 for r in found)
+    per_text = collections.defaultdict(set)
+    for r, x in zip(rows, tokens):
+        per_text[tuple(x)] |= {round(f["score"], 9) for f in found if f["doc_id"] == r[0] is not None and f["n_tokens"] == len(x)}
+    assert all(len(x) <= 1 for x in per_text.values())
 
 
 def test_pitman_yor_beats_its_base_on_held_out_text(spark):
@@ -218,7 +223,7 @@ def test_pitman_yor_beats_its_base_on_held_out_text(spark):
     assert p["perplexity"] < p["base_perplexity"]
 
 
-def test_pitman_yor_word_contexts_are_brute_force(spark):
+def test_pitman_yor_reads_the_order_of_words(spark):
     rng = random.Random(2)
     chain = {w: rng.sample(range(40), 3) for w in range(40)}
     data = []
@@ -227,45 +232,84 @@ def test_pitman_yor_word_contexts_are_brute_force(spark):
         for _ in range(rng.randrange(30)):
             w.append(rng.choice(chain[w[-1]]))
         data.append((k, " ".join(f"w{x}" for x in w)))
-    data += [(k + 1000, " ".join(rng.sample(t.split(), len(t.split())))) for k, t in data] + [(next(k for k in range(-1, -99, -1) if zlib.crc32(str(k).encode()) % 7 == 2), "w1 new w1 w2"), (-100, None)]
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in data}
-    data = [r for r in data if r[0] < 1000 or held[r[0]]]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    found = {r["doc_id"]: r for r in op8.score(df).collect()}
-    texts = df.select("doc_id", "text")
-    grams, n_words, n_docs = op8.open_contexts(texts, op8.ORDER, op8.CONTEXTS, 7, 2)
-    types, (d1, d2) = op8.context_types(texts, 8, 7, 2)
-    words, replies = op8.word_restaurant(texts, types, 8, spark.sparkContext.broadcast(op8.sample_speller(grams)), n_words, n_docs, 7, 2)
-    known = {int(x["h"]): x for r in replies.collect() for x in op8.P.unpack(r["packed"], op8._KNOWN)[1]}
-    unknown = next(10 ** x["score"] for x in known.values() if not x["n"])
-    assert abs(sum(10 ** x["score"] for x in known.values() if x["n"]) + unknown - 1) < 0.05
-    tokens = {k: [2, 2, *(int(h) for h in W.split_words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")])).hash), 1] for k, t in data}
-    three = collections.Counter(g for k, t in tokens.items() if not held[k] for g in zip(t, t[1:], t[2:]))
-    two = collections.Counter(g[1:] for g in three)
-    assert words.customers == len(two) and words.vocabulary == len({w for _, w in two})
-
-    def mix(counts, context, w, d, shorter):
-        dishes = [n for g, n in counts.items() if g[:-1] == context]
-        return (max(counts[(*context, w)] - d, 0) + (1 + d * len(dishes)) * shorter) / (sum(dishes) + 1)
-
-    for k in [x for x in found if held[x] or x < 0][:40] + [3, 4]:
-        want = sum(math.log10(mix(three, (u, v), w, d2, mix(two, (v,), w, d1, 10 ** known[w]["score"]))) for u, v, w in zip(tokens[k], tokens[k][1:], tokens[k][2:]))
-        assert math.isclose(found[k]["score"], want, rel_tol=1e-5)
-    per = lambda ks: sum(found[k]["score"] for k in ks) / sum(found[k]["n_tokens"] for k in ks)
-    assert per([k for k in found if 0 <= k < 1000 and held[k]]) > per([k for k in found if k >= 1000]) + 0.2
-
-
-def test_seating_grows_with_customers():
+    data += [(k + 1000, " ".join(rng.sample(t.split(), len(t.split())))) for k, t in data]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    df = spark.createDataFrame([r for r in data if r[0] < 1000 or held(r[0])], "doc_id long, text string")
+    found = op8.score(df).collect()
+    per = lambda some: sum(r["score"] for r in some) / sum(r["n_tokens"] for r in some)
+    shuffled = [r for r in found if r["doc_id"] >= 1000]
+    assert per([r for r in found if r["held_out"] and r["doc_id"] < 1000]) > per(shuffled) + 0.2
+
+
+def test_pitman_yor_probabilities_add_up(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=rng.randrange(12))) for _ in range(60)]
+    train = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    words = ["a", "b", "c", "d"]
+    asked = [f"{v} {w}" for v in [*words, "new"] for w in [*words, "other"]] + [*words, "new", "other"]
+    df = spark.createDataFrame([*zip(train, texts), *zip(held, asked)], "id long, text string")
+    model = op8.fit(df, 7, 2)
+    logp = {}
+    for r in model.cells.collect():
+        key, p, _ = op8.expand(r["packed"])
+        logp |= dict(zip(key.tolist(), p.tolist()))
+    h = {w: x for w, x in zip([*words, "new", "other"], W.split_words(np.frombuffer(b"a b c d new other", np.uint8), np.array([0, 17])).hash)}
+    for v in [*(h[w] for w in [*words, "new"]), op8.START]:
+        after = [*(h[w] for w in [*words, "other"]), op8.END]
+        if v == op8.START:
+            assert (W.fold(np.array([v]), np.array([op8.END]))[0] in logp) == ("" in texts)
+        keys = [int(W.fold(np.array([v]), np.array([w]))[0]) for w in after]
+        assert abs(sum(10 ** logp[k] for k in keys) - 1) < 1e-3
+    assert model.parent.tokens == sum(len(t.split()) + 1 for t in texts) and model.parent.vocabulary == 5
+
+
+def test_gibbs_seating_is_the_exact_distribution():
+    """Of five customers, tables as all partitions of them have it: each weighs strength^tables times (1 - d)(2 - d).. for each table."""
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            yield [[items[0]], *rest]
+            for k in range(len(rest)):
+                yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+    d, strength, n = 0.6, 0.7, 5
+    weight = collections.Counter()
+    for p in partitions(list(range(n))):
+        weight[tuple(sorted(map(len, p)))] += strength ** len(p) * math.prod(k - d for own in p for k in range(1, len(own)))
+    rng = np.random.default_rng(4)
+    cells = 40_000
+    s = Seats.first(np.full(cells, n), np.full(cells, strength), d, rng)
+    for _ in range(8):
+        s.sweep(np.full(cells, strength), d, rng)
+    first = np.cumsum(s.t) - s.t
+    sizes = s.sizes()
+    found = collections.Counter(tuple(sorted(sizes[a : a + t].tolist())) for a, t in zip(first.tolist(), s.t.tolist()))
+    for k, w in weight.items():
+        assert abs(found[k] / cells - w / sum(weight.values())) < 0.01
+
+
+def test_seats_hold_their_customers():
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 5000])
-    t = op8.seat(c, np.full(5, 1.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and t[4] > t[2]
-
-
-def test_spelling_is_a_distribution():
-    c = op8.Contexts(np.array([0, 1]), np.array([0, 97]), np.array([-1, 0]), np.array([0, 1, 1]), np.array([97, 98, 32]), np.array([3, 4, 5]))
-    s = op8.sample_speller(c)
-    assert np.allclose((10.0 ** s.logp.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
+    n = np.array([1, 2, 3, 50, 500, 100_000])
+    for strength in (0.0, 1.0, 500.0):
+        s = Seats.first(n, np.full(6, strength), 0.5, rng)
+        for _ in range(3):
+            s.sweep(np.full(6, strength), 0.5, rng)
+        ends = np.cumsum(s.t)
+        assert [int(x.sum()) for x in np.split(s.sizes(), ends[:-1])] == n.tolist() and (s.sizes() > 0).all()
+        assert (s.t == 1).all() if not strength else s.t[0] == 1
+    assert s.t[4] > 100
+
+
+def test_squeezed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    a = [np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.arange(5, dtype=np.int32), rng.random(7).astype(np.float32), np.empty(0, np.uint64), np.array([-1, 1 << 40])]
+    b = op8.expand(op8.squeeze(*a))
+    assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(a, b, strict=True))
 
 
 def test_toxicity_learns_and_restores(spark):

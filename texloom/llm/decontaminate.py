@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import words as W
-from .shared import free_name
+from .shared import free_name, small_batches
 
 #: Text bytes of benchmark items that are held at once, on the driver and on each executor.
 BLOCK_BYTES = 32 << 20
@@ -117,7 +117,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
     """docs with two more columns: the spans of hit words and the items with occurring windows."""
     spans_col, items_col = free_name(docs, "_spans"), free_name(docs, "_items")
     schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, _SPANS), T.StructField(items_col, T.ArrayType(T.StringType()))])
-    out = docs
+    out = small_batches(docs)
     for n, block in enumerate(_blocks(benchmark, window, item_col, item_text_col, block_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -30,6 +30,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import small_batches
+
 #: A path holds content from this share of the deviation of fused ratios on.
 LAMBDA = 0.8
 #: Paths to each side that smooth a path.
@@ -313,4 +315,4 @@ def main_text(html: Column) -> Column:
 
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with the main text of each page."""
-    return pages.withColumn(out_col, main_text(F.col(html_col)))
+    return small_batches(pages).withColumn(out_col, main_text(F.col(html_col)))

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import packed as P, words as W
 from .components import components
-from .shared import cut, free_name
+from .shared import cut, free_name, small_batches
 
 SHINGLE, PERCENT = 5, 75
 BLOCK_ROWS = 3000
@@ -375,7 +375,7 @@ def _first(sets: DataFrame, found: DataFrame, least: Column) -> DataFrame:
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id that links reach)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(classes(texts, shingle), "classes")
     found = _linked(texts, sets, shingle, percent, block_rows, filter_bits)
     first = cut(_first(sets, found, F.col("id")), "components")
@@ -392,7 +392,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     share an id, are told apart. Rows without words all stay.
     """
     row = free_name(docs, "_row")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = cut(small_batches(docs).withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(classes(texts, shingle), "classes")
     first = cut(_first(sets, _linked(texts, sets, shingle, percent, block_rows, filter_bits), F.col("id")), "components")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .shared import cut, free_name
+from .shared import cut, free_name, small_batches
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -143,7 +143,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n or [[]]), pa.int64())], ["doc", "source", "size"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    d = small_batches(docs).select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     d = d.mapInArrow(count, f"doc {id_type}, source string, size long")
     return d.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
 

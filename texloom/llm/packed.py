@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
 #: Entries that a task gathers before it packs them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Owner of entries whose own id is null: never smaller than any other.
 NO_ID = (1 << 63) - 1
 PACKED = "bucket long, packed binary"
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets that hashes are dealt to: as many as the session has partitions for its shuffles."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Buckets that hashes are dealt to: twice as many as the session has partitions for its shuffles, since a task holds one at a time."""
+    return 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(owner: np.ndarray, value: np.ndarray) -> bytes:

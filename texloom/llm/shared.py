@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows of an Arrow batch. Spark's own default bounds rows, not bytes, and holds each batch several times; texts are long.
+BATCH_ROWS = 1000
+#: Tables of the shared folder that are still there.
+_written: dict[str, SparkSession] = {}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df. Its session hands Python batches of at most ``BATCH_ROWS`` rows from now on, unless it has a setting of its own."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path for a table in the shared folder."""
     return f"{shared_dir(spark)}/texloom-{what}-{uuid.uuid4().hex}"
@@ -35,11 +50,27 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back.
 
     This cuts the lineage: later steps survive the loss of any executor, since
-    what they read isn't kept by executors.
+    what they read isn't kept by executors. Shuffles that nothing refers to any
+    more are let go of then.
     """
-    path = new_path(df.sparkSession, what)
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes what ``cut`` wrote, when nothing reads it any more."""
+    for file in table.inputFiles()[:1]:
+        path = next((p for p in _written if f"/{p.rpartition('/')[2]}/" in file), None)
+        if path:
+            spark = _written.pop(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import packed as P, words as W
+from .shared import small_batches
 
 LENGTH = 13
 FILTER_BITS = 1 << 27
@@ -219,7 +220,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     spark = docs.sparkSession
     groups = groups or GROUPS * P.buckets(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sent, groups_at = repeated_windows(texts, length, filter_bits, groups)
     marks = _decided(sent, groups_at, groups)
     dealt = texts.withColumn("bucket", P.group_column(F.col("id"), groups))

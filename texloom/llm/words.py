@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of a word from which on it is hashed by itself, by BLAKE2.
 _LONG = 256
 
