@@ -28,8 +28,10 @@ code of one symbol has one bit. Other columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,23 +41,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words as W
-from .shared import new_path
+from .shared import new_path, small_batches
 
 MAX_BITS = 16
 #: Ids between checkpoints.
 STEP = 128
 #: Ids from which on a block is full; a document is never split.
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker keeps at most.
-KEPT_WORDS = 2_500_000
+#: Words whose ids a Python worker keeps at most, and the bytes of a word that is kept: some 25 MB in all.
+KEPT_WORDS, KEPT_BYTES = 600_000, 64
 MAX_VOCABULARY = 1 << 16
 
 
 class Encoder:
-    """Ids of whole texts. Words between white space are encoded once and kept.
+    """Ids of whole texts. Words between white space are encoded once and kept for a while.
 
     The tokenizers that this is for drop white space and never join what it
-    separates, so a text's ids are its words' ids one after another.
+    separates, so a text's ids are its words' ids one after another. Words are
+    found by hash and compared byte by byte; a word that shares its hash with
+    another one is encoded each time. When ``KEPT_WORDS`` are kept, all are forgotten.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int) -> None:
@@ -64,39 +68,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.end_id = end_id
+        # words that differ in the case of A-Z alone are one to a tokenizer that lowers all letters
+        steps = json.loads(tokenizer_json).get("normalizer") or {}
+        self.lower = any(x.get("type") == "Lowercase" for x in [steps, *steps.get("normalizers", [])])
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.empty(0, np.uint64)  # sorted; of the words that are known
-        self.slots = np.empty(0, np.int64)
-        self.ptr, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
-
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)  # by hash
+        self.ids, self.ends = np.empty(0, np.intc), np.zeros(1, np.int64)  # by slot, as the words' bytes
+        self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one word's after another, and how many each has."""
+        ids, lens = array("i"), []
+        for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False):
+            own = e.ids
+            ids.extend(own)
+            lens.append(len(own))
+        return np.frombuffer(ids, np.intc) if ids else np.empty(0, np.intc), np.array(lens, np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         """hashes: sorted and new."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        slots = np.arange(len(self.ptr) - 1, len(self.ptr) - 1 + len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lens.sum()))])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(lens)])
         at = np.searchsorted(self.hashes, hashes)
+        slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words), dtype=np.int32)
         self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, slots)
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
+        self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + np.cumsum([len(x) for x in words])])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each with its end id, and where each document's begin."""
-        w = W.split_words(data, offsets, lower=False)
+        w = W.split_words(data, offsets, lower=self.lower)
         unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.hashes) > KEPT_WORDS:
             self.forget()
+        raw = w.data.tobytes()
+        cut = lambda which: [raw[a:b] for a, b in zip(w.start[which].tolist(), w.end[which].tolist(), strict=True)]
+        at = np.searchsorted(self.hashes, unique)
+        at[at == len(self.hashes)] = 0
+        held = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
+        new = np.flatnonzero(~held)
+        short = new[w.end[first[new]] - w.start[first[new]] <= KEPT_BYTES]
+        if len(short):
+            words = cut(first[short])
+            self.learn(unique[short], words, *self.ids_of(words))
+        # each word's ids lie at begin in ids: of the words that are kept, then of those that aren't
         at = np.searchsorted(self.hashes, unique)
-        new = np.ones(len(unique), bool)
-        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != unique[at < len(self.hashes)]
-        if new.any():
-            raw = w.data.tobytes()
-            where = first[new]
-            self.learn(unique[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)])
-        ptr, ids = self.ptr, self.ids
-        slot = self.slots[np.searchsorted(self.hashes, unique)][back]
-        lens = ptr[slot + 1] - ptr[slot]
+        at[at == len(self.hashes)] = 0
+        slot = self.slots[at] if len(self.hashes) else np.zeros(len(unique), np.int32)
+        kept = held.copy()
+        kept[short] = True
+        ids, ends = self.ids, self.ends
+        if kept.any():
+            slot = slot[back]
+            kept = kept[back]
+            kept[kept] = W.same_bytes(w.data, w.start[kept], w.end[kept], self.text, self.text_ends[slot[kept]], self.text_ends[slot[kept] + 1])
+        else:
+            slot, kept = np.zeros(len(back), np.int32), np.zeros(len(back), bool)
+        if not kept.all():
+            others: dict[bytes, int] = {}
+            which = np.flatnonzero(~kept)
+            base = len(ends) - 1
+            slot = slot.copy()
+            slot[which] = [base + others.setdefault(x, len(others)) for x in cut(which)]
+            more, lens = self.ids_of(list(others))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(lens)])
+        begin, lens = ends[slot], ends[slot + 1] - ends[slot]
         # words and document ends in one sequence
         n_docs = len(offsets) - 1
         ends = w.ptr[1:] + np.arange(n_docs)
@@ -104,7 +141,7 @@ class Encoder:
         item_start = np.full(len(lens) + n_docs, -1, np.int64)
         is_word = np.ones(len(lens) + n_docs, bool)
         is_word[ends] = False
-        item_lens[is_word], item_start[is_word] = lens, ptr[slot]
+        item_lens[is_word], item_start[is_word] = lens, begin
         at = np.concatenate([[0], np.cumsum(item_lens)])
         src = np.arange(at[-1]) - np.repeat(at[:-1] - item_start, item_lens)
         out = np.full(at[-1], self.end_id, np.int32)
@@ -118,11 +155,11 @@ _encoders: dict[int, Encoder] = {}
 
 def _encoder(shared, end_id: int) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
-    json = shared.value
-    key = zlib.crc32(json.encode()) ^ end_id
+    text = shared.value
+    key = zlib.crc32(text.encode()) ^ end_id
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(json, end_id)
+        _encoders[key] = Encoder(text, end_id)
     return _encoders[key]
 
 
@@ -228,7 +265,7 @@ def raw_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, t
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    d = small_batches(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "tie").sortWithinPartitions("doc", "tie", "text").select("doc", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +279,7 @@ def raw_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, t
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], BLOCK_COLUMNS)
 
         for batch in batches:
-            for a, _, data, offsets in W.slices(batch.column(1), 1 << 21):
+            for a, _, data, offsets in W.slices(batch.column(1), 1 << 20):
                 all_ids, ptr = encoder.encode(data, offsets)
                 k = 0
                 while k < len(ptr) - 1:
@@ -296,8 +333,8 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 1, i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 8):
-                rows = batch.slice(k, 8)
+            for k in range(0, batch.num_rows, 4):
+                rows = batch.slice(k, 4)
                 coded = [code.value.encode(np.frombuffer(b.as_py(), "<u4").astype(np.int64)) for b in rows.column(6)]
                 payload = [p for p, _ in coded]
                 new = [pa.array(payload, pa.binary()), pa.array([c.tobytes() for _, c in coded], pa.binary()), pa.array([zlib.crc32(p) for p in payload], pa.int64())]
