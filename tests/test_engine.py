@@ -254,3 +254,14 @@ def test_whole_tables_equal_sql(spark, name):
 def test_stop_words_of_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert QUERIES["stopwords_drop"](spark, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_helper_columns_dont_clash(spark):
+    df = spark.createDataFrame([("b a", 1, 7), ("c", 1, 8), ("c", 2, 9)], "text string, _pos int, _width int")
+    df = df.withColumn("_RN", F.lit(1)).withColumn("_out", F.lit(2)).withColumn("_key", F.lit(3))
+    assert [tuple(r) for r in C.split_rows(df.limit(1), "text", " ", ["_pos"], pos=True, out="p").collect()] == [(1, 1, "b"), (1, 2, "a")]
+    assert C.split_rows(df, "text", " ", ["_pos", "_width"]).columns == ["_pos", "_width", "text"]
+    assert sorted(tuple(r) for r in C.top(df, 1, "text", ["_pos"]).collect()) == [("b a", 1, 7, 1, 2, 3), ("c", 2, 9, 1, 2, 3)]
+    assert sorted(r["text"] for r in C.fill_max(df, "text").collect()) == ["b a", "c  ", "c  "]
+    assert sorted(tuple(r) for r in C.apply_ops(df, "text", "upper", dedupe=True).collect())[0] == ("B A", 1, 7, 1, 2, 3)
+    assert sorted(tuple(r) for r in C.apply_ops(df, "text", "upper", out="_out", dedupe=True).collect())[2] == ("c", 2, 9, 1, "C", 3)

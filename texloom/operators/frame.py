@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from texloom.functions import numbers as N, regexes as R
-from texloom.operators.row import Engine, Val, enumeration, split_text
+from texloom.operators.row import Engine, enumeration, split_text
 from texloom.plans.pattern import PatternSpec, parse_pattern
 
 Order = str | Column | list
@@ -19,6 +19,12 @@ def _order(order_by: Order) -> list:
     return list(order_by) if isinstance(order_by, list | tuple) else [order_by]
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A name for a helper column that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for k in range(len(taken) + 1) if (x := f"{base}{k or ''}").lower() not in taken)
+
+
 def specs(patterns: tuple[str, ...], **flags: bool) -> list[PatternSpec]:
     extra = {k for k, v in flags.items() if v}
     return [parse_pattern(p, extra=extra) for p in patterns]
@@ -73,9 +79,9 @@ def split_rows(df: DataFrame, text: str, split: str, ids: list[str] | None = Non
     ids = ids or []
     pieces = split_text(F.col(text), split, {k for k, v in flags.items() if v}, keep_empty)
     keep = [F.col(c) for c in ids] + ([F.monotonically_increasing_id().alias(obs)] if obs else [])
-    d = df.select(*keep, F.posexplode(pieces).alias("_pos", out or text))
-    d = d.withColumn("_pos", F.col("_pos") + 1)
-    return d.withColumnRenamed("_pos", "pos") if pos else d.drop("_pos")
+    place = free_name(df, "_pos")
+    d = df.select(*keep, F.posexplode(pieces).alias(place, out or text))
+    return d.select(*d.columns[: len(keep)], *([(F.col(place) + 1).alias("pos")] if pos else []), d.columns[-1])
 
 
 def paste_rows(df: DataFrame, text: str, ids: list[str], sep: str = " ", *, order_by: Order | None = None, last: str | None = None, out: str | None = None) -> DataFrame:
@@ -113,7 +119,8 @@ def top(df: DataFrame, n: int, order_by: Order, by: list[str] | None = None) ->
     if not by:
         return df.orderBy(*_order(order_by)).limit(n)
     w = Window.partitionBy(*by).orderBy(*_order(order_by))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    rank = free_name(df, "_rn")
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank)
 
 
 def last(df: DataFrame, n: int, order_by: Order, by: list[str] | None = None) -> DataFrame:
@@ -141,9 +148,10 @@ def fill_max(df: DataFrame, text: str, by: list[str] | None = None, **how) -> Da
     from texloom.operators.row import fill_text
 
     by = by or []
-    width = df.groupBy(*by).agg(F.max(F.length(text)).alias("_width"))
+    most = free_name(df, "_width")
+    width = df.groupBy(*by).agg(F.max(F.length(text)).alias(most))
     d = df.join(width, by) if by else df.crossJoin(F.broadcast(width))
-    return d.withColumn(text, fill_text(F.col(text), F.col("_width"), **how)).drop("_width")
+    return d.withColumn(text, fill_text(F.col(text), F.col(most), **how)).drop(most)
 
 
 def apply_ops(df: DataFrame, text: str, chain: str, *, out: str | None = None, engine: Engine | None = None, dedupe: bool = False) -> DataFrame:
@@ -153,11 +161,7 @@ def apply_ops(df: DataFrame, text: str, chain: str, *, out: str | None = None, e
     out = out or text
     if not dedupe:
         return df.withColumn(out, ops(F.col(text), chain, df=df, engine=engine))
-    values = df.select(F.col(text).alias("_key")).dropDuplicates()
-    done = values.withColumn("_out", ops(F.col("_key"), chain, df=values, engine=engine))
-    joined = df.join(done, df[text].eqNullSafe(done["_key"])).withColumn("_out", F.col("_out"))
-    return joined.withColumn(out, F.col("_out")).drop("_key", "_out")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = Val
+    key, done = free_name(df, "_key"), free_name(df, "_out")
+    values = df.select(F.col(text).alias(key)).dropDuplicates()
+    values = values.withColumn(done, ops(F.col(key), chain, df=values, engine=engine))
+    return df.join(values, F.col(text).eqNullSafe(F.col(key))).withColumn(out, F.col(done)).drop(key, done)
