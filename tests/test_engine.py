@@ -75,7 +75,7 @@ def test_templates_parse():
 
 @pytest.mark.parametrize(
     "word,forms",
-    [("is", ("is", "are")), ("have", ("has", "have")), ("don't", ("doesn't", "don't")), ("want", ("wants", "want")), ("go", ("goes", "go")), ("try", ("tries", "try")), ("play", ("plays", "play")), ("Weren't", ("Wasn't", "Weren't")), ("DO", ("DOES", "DO")), ("arenot", ("is not", "are not")), ("watches", ("watches", "watch"))],
+    [("is", ("is", "are")), ("have", ("has", "have")), ("don't", ("doesn't", "don't")), ("want", ("wants", "want")), ("go", ("goes", "go")), ("try", ("tries", "try")), ("play", ("plays", "play")), ("Weren't", ("Wasn't", "Weren't")), ("DO", ("DOES", "DO")), ("arenot", ("is not", "are not")), ("watches", ("watches", "watch")), ("passes", ("passes", "pass")), ("dies", ("dies", "die")), ("uses", ("uses", "use")), ("fix", ("fixes", "fix"))],
 )
 def test_verbs(word, forms):
     assert conjugate(word) == forms
