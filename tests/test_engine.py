@@ -251,6 +251,25 @@ def test_whole_tables_equal_sql(spark, name):
     assert got and sorted(got) == sorted(c.sql(SQL[name]).fetchall())
 
 
+def test_magic(spark):
+    x = F.col("x")
+    df = spark.createDataFrame([(1, "aab"), (2, "cd"), (3, None)], "id int, x string")
+    words = {"two": "a{2}", "all": ["b", "d"]}
+    assert [r["id"] for r in df.filter(A.matches(x, "magic/a{2}b")).collect()] == [1]
+    assert [r["id"] for r in df.filter(A.matches(x, "{two}", magic=True, vars=words)).collect()] == [1]
+    got = df.select(A.replace(x, r"magic, ignore/{'\|'c, upper ? all} => <{upper ! z}>", vars=words).alias("y")).collect()
+    assert [r["y"] for r in got] == ["aa<Z>", "c<Z>", None]
+    engine = A.Engine({"all": ["b", "d"]})
+    assert [r[0] for r in df.select(A.ops(x, "\"magic/{1 first, ''c ? all}\"is", engine=engine)).collect()] == [True, False, False]
+    with pytest.raises(PatternError):
+        A.matches(x, "magic/{all}", vars=words)
+
+
+@pytest.mark.parametrize("x,digits,want", [(1.2345e-8, 3, "0.0000000123"), (1234.5678, 6, "1,234.56"), (-0.25, 2, "-0.25"), (3e-25, 1, "0." + "0" * 24 + "3")])
+def test_significant_digits_are_cut(spark, x, digits, want):
+    assert spark.range(1).select(A.ops(F.lit(x), f"s{digits}", df=spark.range(1))).first()[0] == want
+
+
 def test_stop_words_of_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert QUERIES["stopwords_drop"](spark, "/root/testdata/sf0.001").count() == docs.count()

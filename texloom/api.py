@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from texloom.functions import regexes as R
 from texloom.operators import frame, row
 from texloom.operators.frame import all_match, any_match, enum_rows, freq_table, get, get_in, matches, paste_rows, split_rows, top, which
+from texloom.operators.magic import expand
 from texloom.operators.row import Engine, Val, wrap_text
 from texloom.operators.templates import Scope, compile_template, value_of
 from texloom.plans.chain import ChainError
@@ -59,8 +60,8 @@ def interpolate(df: DataFrame, text: str, out: str, **options) -> DataFrame:
     return df.withColumn(out, template(text, df=df, **options))
 
 
-def clean(col: Column, *items: str, replacement: str = "", pipe: str = "=>", split: bool = True, engine: Engine | None = None, **flags: bool) -> Column:
-    """Replacements one after another: ``p1, p2 => new``, or ``@chain`` for operators; ``\\@`` is a plain at sign."""
+def clean(col: Column, *items: str, replacement: str = "", pipe: str = "=>", split: bool = True, engine: Engine | None = None, magic: bool = False, vars: dict | None = None, **flags: bool) -> Column:
+    """Replacements one after another: ``p1, p2 => new``, or ``@chain`` for operators; ``\\@`` is a plain at sign. With ``magic``, items are templates that may name ``vars``."""
     on = {k for k, v in flags.items() if v}
     for item in items:
         if item.startswith("@"):
@@ -68,12 +69,12 @@ def clean(col: Column, *items: str, replacement: str = "", pipe: str = "=>", spl
             continue
         item = item.removeprefix("\\") if item.startswith("\\@") else item
         item = item if f" {pipe} " in item or item.endswith(f" {pipe}") or not replacement else f"{item} {pipe} {replacement}"
-        col = row.clean_text(col, item, on, split, pipe)
+        col = row.clean_text(col, expand(item, vars, engine, magic), on, split, pipe)
     return col
 
 
-def replace(col: Column, pattern: str, replacement: str = "", **flags: bool) -> Column:
-    return clean(col, pattern, replacement=replacement, split=False, **flags)
+def replace(col: Column, pattern: str, replacement: str = "", **how) -> Column:
+    return clean(col, pattern, replacement=replacement, split=False, **how)
 
 
 def extract(col: Column, pattern: str, single: bool = False, **flags: bool) -> Column:

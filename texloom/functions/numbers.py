@@ -80,13 +80,15 @@ def rounded(x: Column, digits: int, *, int_as_double: bool = False, commas: bool
 
 
 def significant(x: Column, digits: int, least: int = 1, *, int_as_double: bool = False, commas: bool = True) -> Column:
-    """The first digits of a number, cut off, not rounded; with at least ``least`` decimals. At most six decimals are looked at."""
+    """The first digits of a number, cut off, not rounded; with at least ``least`` decimals."""
     a = F.abs(x)
     whole = F.floor(a)
     n_whole = F.when(whole == 0, 0).otherwise(F.length(whole.cast("string")))
-    decimals = F.substring(F.format_string("%.6f", (a - whole).cast("double")), 3, 6)
+    # the shortest digits that stand for the number, as decimals
+    digits_of = F.when(a < 1e-20, F.format_string("%.340f", a.cast("double"))).otherwise(F.format_string("%.40f", a.cast("double")))
+    decimals = F.substring_index(digits_of, ".", -1)
     zeros = F.when(whole == 0, F.length(F.regexp_extract(decimals, "^0*", 0))).otherwise(0)
-    keep = F.least(F.lit(6), F.greatest(F.lit(least), digits - n_whole + zeros))
+    keep = F.greatest(F.lit(least), digits - n_whole + zeros)
     head = F.concat(F.when(x < 0, "-").otherwise(""), F.format_number(whole, 0) if commas else whole.cast("string"))
     full = F.concat(head, F.when(keep > 0, F.concat(F.lit("."), F.substring(decimals, F.lit(1), keep))).otherwise(""))
     out = full if int_as_double else F.when(a == whole, head).otherwise(full)

@@ -25,15 +25,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return next(x for k in range(len(taken) + 1) if (x := f"{base}{k or ''}").lower() not in taken)
 
 
-def specs(patterns: tuple[str, ...], **flags: bool) -> list[PatternSpec]:
+def specs(patterns: tuple[str, ...], *, magic: bool = False, vars: dict | None = None, **flags: bool) -> list[PatternSpec]:
+    from texloom.operators.magic import expand
+
     extra = {k for k, v in flags.items() if v}
-    return [parse_pattern(p, extra=extra) for p in patterns]
+    return [parse_pattern(expand(p, vars, on=magic), extra=extra) for p in patterns]
 
 
-def matches(col: Column, *patterns: str, any_of: bool = False, fixed: bool = False, ignore: bool = False, word: bool = False, for_filter: bool = False) -> Column:
-    """Whether each string matches all patterns, or any of them."""
+def matches(col: Column, *patterns: str, any_of: bool = False, fixed: bool = False, ignore: bool = False, word: bool = False, magic: bool = False, vars: dict | None = None, for_filter: bool = False) -> Column:
+    """Whether each string matches all patterns, or any of them. With ``magic``, patterns are templates that may name ``vars``."""
     out = None
-    for spec in specs(patterns, fixed=fixed, ignore=ignore, word=word):
+    for spec in specs(patterns, magic=magic, vars=vars, fixed=fixed, ignore=ignore, word=word):
         own = R.matches_spec(col, spec, for_filter)
         out = own if out is None else (out | own) if any_of else (out & own)
     return out

@@ -80,6 +80,10 @@ def op(*names: str, default: str | None = None, options: str = "", needs: bool =
     return add
 
 
+#: Operators whose argument is a pattern.
+_PATTERNED = frozenset("s S split x X extract r R replace clean get is which erase rm".split())
+
+
 class Engine:
     """A registry of operators and the values that arguments in backticks may name."""
 
@@ -135,6 +139,10 @@ class Engine:
         arg = self.evaluate(call)
         if arg is None:
             arg = spec.default
+        elif spec.name in _PATTERNED and "/" in arg:
+            from texloom.operators.magic import expand
+
+            arg = expand(arg, self.vars, self)
         if arg is None and spec.needs:
             raise ChainError(f"{spec.name!r} needs an argument")
         if v.grouped and not spec.in_groups:

@@ -141,7 +141,7 @@ def case_title(t):
     return t("part").select("p_partkey", A.ops("p_type", "title.force").alias("title"))
 
 
-@query()
+@query(r"SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(lower(text), '[^.?!]*[.?!]+\s*|[^.?!]+$'), lambda p: regexp_extract(p, '^[^\pL]*') || upper(left(regexp_replace(p, '^[^\pL]*', ''), 1)) || substr(regexp_replace(p, '^[^\pL]*', ''), 2)), ''), '') AS text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
 def case_sentence(t):
     return t("documents").select("doc_id", A.ops("text", "lower, upper.sentence").alias("text"))
 
@@ -283,19 +283,22 @@ def template_recycle(t):
     return d.select("n_nationkey", F.get(A.template("{n_name}-{parts}", df=d), F.lit(1)).alias("second"), A.template("A{n_nationkey}/{n_name}", df=d).alias("x"))
 
 
-@query()
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace(CASE WHEN lang = 'en' THEN array_to_string(list_filter(regexp_extract_all(text, '[[:alnum:]](?:[[:alnum:]'']*[[:alnum:]])?|[^[:alnum:]]+'), lambda w: lower(w) NOT IN ({_STOP})), '') ELSE text END, '[ \\t\\n]+', ' ', 'g')) AS text FROM documents""")
 def stopwords_drop(t):
     # the words are English: other documents keep theirs
     text = F.when(F.col("lang") == "en", A.ops("text", "stopwords, ws")).otherwise(A.ops("text", "ws"))
     return t("documents").select("doc_id", text.alias("text"))
 
 
-@query()
+@query("SELECT conv_id, turn, array_to_string(list_transform(string_split(text, chr(10)), lambda p: '> ' || replace(list_reduce(string_split(p, ' '), lambda a, w: CASE WHEN regexp_extract(a, '[^\\n]*$') = '' THEN a || w WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= 58 THEN a || ' ' || w ELSE a || chr(10) || w END), chr(10), chr(10) || '> ')), chr(10)) AS text FROM conversations")
 def swidth_wrap(t):
     return t("conversations").select("conv_id", "turn", A.ops("text", "'60|>'swidth").alias("text"))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'Æ', 'AE'), 'Œ', 'OE'), '…', '...'), '€', 'EUR')), '[^\x00-\x7F]', '?', 'g') AS text FROM documents")
 def ascii_fold(t):
     return t("documents").select("doc_id", A.ops("text", "ascii").alias("text"))
 
