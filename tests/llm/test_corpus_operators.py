@@ -305,6 +305,25 @@ def test_seats_hold_their_customers():
     assert s.t[4] > 100
 
 
+def test_sweeps_take_all_customers_of_large_cells():
+    """Tables of 600 customers, seated at one table at first, after a few sweeps: weights of t tables are strength^t * generalised Stirling numbers."""
+    d, strength, n, cells = 0.8, 50.0, 600, 300
+    weight = np.array([0.0, 1.0])
+    for k in range(1, n):
+        t = np.arange(k + 2)
+        weight = strength * np.concatenate([[0.0], weight]) + (k - d * t) * np.concatenate([weight, [0.0]])
+        weight /= weight.max()
+    mean = (np.arange(n + 1) * weight).sum() / weight.sum()
+    rng = np.random.default_rng(5)
+    sizes = np.tile([5, 20, n], cells)
+    s = Seats(sizes, np.ones(3 * cells, np.int64), sizes)
+    for _ in range(12):
+        s.sweep(np.full(3 * cells, strength), d, rng)
+    first = np.cumsum(s.t) - s.t
+    assert (np.add.reduceat(s.sizes(), first) == sizes).all() and (s.sizes() > 0).all()
+    assert abs(s.t[2::3].mean() / mean - 1) < 0.03
+
+
 def test_squeezed_arrays_come_back():
     rng = np.random.default_rng(1)
     a = [np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.arange(5, dtype=np.int32), rng.random(7).astype(np.float32), np.empty(0, np.uint64), np.array([-1, 1 << 40])]

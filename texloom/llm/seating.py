@@ -6,16 +6,18 @@ everybody else: at a table by its customers less the discount, or at a new one
 by its strength, (theta + discount * tables of the restaurant) * the parent's
 probability of the dish. Cells are seated side by side, under totals and
 parents' probabilities that hold for the whole sweep.
+
+A sweep takes as many customers of a cell as the cell has. Those of a cell of
+more than ``ONE_BY_ONE`` are taken in that many groups, which any customer joins
+by the same chance; a group is seated given all others, its members side by side.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Customers that are seated one by one at first; the others come in groups, and sweeps move them.
+#: Customers that are seated one by one at first, and size of the cells whose customers sweeps take one by one; others come and are taken in groups.
 ONE_BY_ONE = 64
-#: Customers of a cell that a sweep takes, at most; any of its customers may be among them.
-STEPS = 24
 #: Tables of a cell that are looked at one after another; further ones are found in sums.
 SCAN = 8
 
@@ -103,9 +105,9 @@ class Seats:
         self.size[self._find(joining, (u - strength)[~new], discount)] += 1
 
     def sweep(self, strength: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """Takes customers from their tables, of each cell one at a time, and seats them again."""
-        live, step = np.flatnonzero(self.n > 1), 0
-        while len(live) and step < STEPS:
+        """Takes customers from their tables, of each cell as many as it has, and seats them again."""
+        live, step = np.flatnonzero((self.n > 1) & (self.n <= ONE_BY_ONE)), 0
+        while len(live):
             at = self._find(live, rng.random(len(live)) * self.n[live], 0.0)
             self.size[at] -= 1
             gone = self.size[at] == 0
@@ -116,3 +118,41 @@ class Seats:
             self._sit(live, self.n[live] - 1, strength[live], discount, rng)
             step += 1
             live = live[self.n[live] > step]
+        self._sweep_large(strength, discount, rng)
+
+    def _sweep_large(self, strength: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        large = self.n > ONE_BY_ONE
+        if not large.any():
+            return
+        sizes, of_large = self.sizes(), np.repeat(large, self.t)
+        own = Seats(self.n[large], self.t[large], sizes[of_large])
+        for _ in range(ONE_BY_ONE):
+            own._regroup(strength[large], discount, rng)
+        rest = sizes[~of_large]
+        self.t[large] = own.t
+        of_large = np.repeat(large, self.t)
+        sizes = np.empty(len(of_large), np.int64)
+        sizes[of_large], sizes[~of_large] = own.sizes(), rest
+        self._lay_out(np.maximum(self.room, np.minimum(self.n, 2 * self.t + 2)), sizes)
+
+    def _regroup(self, strength: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """One group of each cell's customers taken and seated again."""
+        sizes, t = self.sizes(), self.t
+        cell = np.repeat(np.arange(len(t)), t)
+        taken = rng.binomial(sizes, 1 / ONE_BY_ONE)
+        sizes = sizes - taken
+        m = np.bincount(cell, taken, len(t)).astype(np.int64)
+        cell, sizes = cell[sizes > 0], sizes[sizes > 0]
+        width = sizes - discount
+        wide = np.bincount(cell, width, len(t))
+        opened = rng.binomial(m, strength / (wide + strength))
+        end = np.cumsum(width)
+        first = np.searchsorted(cell, np.arange(len(t)))
+        last = np.searchsorted(cell, np.arange(len(t)), "right") - 1
+        who = np.repeat(np.arange(len(t)), m - opened)
+        x = end[first[who]] - width[first[who]] + rng.random(len(who)) * wide[who]
+        sizes = sizes + np.bincount(np.clip(np.searchsorted(end, x, "right"), first[who], last[who]), minlength=len(sizes))
+        cell = np.concatenate([cell, np.repeat(np.arange(len(t)), opened)])
+        sizes = np.concatenate([sizes, np.ones(int(opened.sum()), np.int64)])[np.argsort(cell, kind="stable")]
+        self.t = np.bincount(cell, minlength=len(t))
+        self._lay_out(np.minimum(self.n, 2 * self.t + 2), sizes)
