@@ -264,6 +264,19 @@ def test_pitman_yor_probabilities_add_up(spark):
     assert model.parent.tokens == sum(len(t.split()) + 1 for t in texts) and model.parent.vocabulary == 5
 
 
+def test_pitman_yor_messages_follow_the_texts(spark, docs):
+    """However many partitions a session's shuffles have, few texts make few messages: one for each two buckets."""
+    texts = docs.selectExpr("doc_id id", "text")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        n = op8.buckets(texts)
+        sums = op8.totals(op8.count_cells(texts, n, 7, 2), n)
+        told = op8.replies(sums, op8.seat_parent(sums, None)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert n == op8.LEAST_BUCKETS and 0 < len(told) <= n * n
+
+
 def test_gibbs_seating_is_the_exact_distribution():
     """Of five customers, tables as all partitions of them have it: each weighs strength^tables times (1 - d)(2 - d).. for each table."""
 

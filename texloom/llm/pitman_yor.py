@@ -20,7 +20,9 @@ tokens with one and two customers.
 Scale. A cell is a context and a token that follows it. Cells are dealt by the
 hash of both, so that a common word is dealt over all buckets, and a task sends
 each kind once for every ``FLUSH`` tokens. A bucket asks others for the totals of
-its contexts and for its tokens' probabilities: one entry for each that it has.
+its contexts and for its tokens' probabilities: one entry for each that it has, in
+one message for each two buckets. Buckets are as many as the texts need
+(``BUCKET_BYTES``), however many partitions a session's shuffles have.
 For scoring, a task sends each kind of cell that a run of documents has once, gets
 probability and count back, and adds up its documents; documents are scored in
 ``BLOCKS`` blocks, one after another, which bounds what shuffles hold at once.
@@ -58,6 +60,8 @@ FIRST, DISCOUNT = 256.0, 0.75
 STRENGTHS, DISCOUNTS = 2.0 ** np.arange(-1, 11), np.arange(0.05, 1, 0.1)
 FLUSH = 1 << 21
 BLOCKS = 3
+#: Bytes of text for each bucket of cells; few texts have ``LEAST_BUCKETS``.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 23, 8
 #: Stand for a text's end and for what precedes its first word.
 END, START = np.uint64(1), np.uint64(2)
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -68,6 +72,11 @@ def in_training(ids: pa.Array, folds: int, held_out: int) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % folds != held_out for i in ids.to_pylist()], bool)
 
 
+def buckets(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(min(LEAST_BUCKETS, P.buckets(texts.sparkSession)), -(-size // BUCKET_BYTES))
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (W.mix(h ^ _SALT) >> np.uint64(33)).astype(np.int64) % n
 
@@ -149,7 +158,11 @@ def count_cells(texts: DataFrame, n: int, folds: int, held_out: int) -> DataFram
             bucket = _bucket(W.fold(v, w), n)
             order = np.lexsort((v, bucket))
             v, w, c = v[order], w[order], c[order]
-            return P.batch_of([(k, squeeze(v[a:b], w[a:b].view(np.int64), narrow(c[a:b]))) for k, a, b in _edges(bucket[order], n)])
+            out = []
+            for k, a, b in _edges(bucket[order], n):
+                words, word = np.unique(w[a:b], return_inverse=True)
+                out.append((k, squeeze(v[a:b], words, word.astype(np.int32), narrow(c[a:b]))))
+            return P.batch_of(out)
 
         for batch in batches:
             train = in_training(batch.column(0), folds, held_out)
@@ -163,8 +176,7 @@ def count_cells(texts: DataFrame, n: int, folds: int, held_out: int) -> DataFram
 
     def receive(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        v, w, c = (np.concatenate(x) for x in zip(*(expand(x.as_py()) for x in table["packed"]), strict=True))
-        w = w.view(np.uint64)
+        v, w, c = (np.concatenate(x) for x in zip(*((v, words[word], c) for v, words, word, c in (expand(x.as_py()) for x in table["packed"])), strict=True))
         first, c = _summed(W.fold(v, w), c.astype(np.int64))
         v, w = v[first], w[first]
         order = np.lexsort((w, v))
@@ -198,6 +210,13 @@ def _discount(once: float, twice: float) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
 
 
+def _asked(keys: np.ndarray, salt: np.uint64 | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a bucket of cells asks for its keys, and where each bucket's begin."""
+    bucket = _bucket(keys if salt is None else keys ^ salt, n)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+
 def totals(cells: DataFrame, n: int) -> DataFrame:
     """By buckets of contexts and tokens: keys, customers, tables (of tokens now, of contexts over the samples), and who asked for which; tokens first."""
 
@@ -205,23 +224,24 @@ def totals(cells: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = Cells.of(blob.as_py())
-                rows = []
+                asked = []
                 for keys, at, tables, salt in ((c.words, c.word, c.t, None), (c.contexts, c.context, c.sampled, _CONTEXT)):
-                    bucket = _bucket(keys if salt is None else keys ^ salt, n)
-                    order = np.argsort(bucket, kind="stable")
-                    sums = [np.bincount(at, x, len(keys)).astype(np.int64)[order] for x in (c.n, tables)]
-                    for k, a, b in _edges(bucket[order], n):
-                        rows.append((k, squeeze(np.array([own, salt is None], np.int64), keys[order[a:b]], narrow(sums[0][a:b]), narrow(sums[1][a:b]))))
+                    order, edge = _asked(keys, salt, n)
+                    asked.append((edge, [keys[order], *(np.bincount(at, x, len(keys)).astype(np.int64)[order] for x in (c.n, tables))]))
+                rows = []
+                for k in range(n):
+                    parts = [x[edge[k] : edge[k + 1]] for edge, arrays in asked for x in arrays]
+                    if len(parts[0]) or len(parts[3]):
+                        rows.append((k, squeeze(np.array([own], np.int64), *(x if x.dtype == np.uint64 else narrow(x) for x in parts))))
                 yield P.batch_of(rows)
 
     def receive(table: pa.Table) -> pa.Table:
-        asked = [expand(x.as_py()) for x in table["packed"]]
-        out = []
-        for is_word in (1, 0):
-            own = sorted((x for x in asked if x[0][1] == is_word), key=lambda x: int(x[0][0]))
-            keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[1] for x in own)]), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([np.empty(0, np.int64), *(x[k] for x in own)]), len(keys)).astype(np.int64) for k in (2, 3)]
-            out += [keys, narrow(sums[0]), narrow(sums[1]), np.array([int(x[0][0]) for x in own], np.int32), narrow(np.array([len(x[1]) for x in own], np.int64)), at.astype(np.int32)]
+        asked = sorted((expand(x.as_py()) for x in table["packed"]), key=lambda x: int(x[0][0]))
+        owners, out = np.array([int(x[0][0]) for x in asked], np.int32), []
+        for k in (1, 4):
+            keys, at = np.unique(np.concatenate([x[k] for x in asked]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x[j] for x in asked]), len(keys)).astype(np.int64) for j in (k + 1, k + 2)]
+            out += [keys, narrow(sums[0]), narrow(sums[1]), owners, narrow(np.array([len(x[k]) for x in asked], np.int64)), at.astype(np.int32)]
         return pa.Table.from_batches([P.batch_of([(table["bucket"][0].as_py(), squeeze(*out))])])
 
     return cells.mapInArrow(ask, P.PACKED).groupBy("bucket").applyInArrow(receive, P.PACKED)
@@ -301,20 +321,15 @@ def likeliest(cells: DataFrame, sums: DataFrame) -> tuple[float, float]:
 
 
 def replies(sums: DataFrame, parent: Parent) -> DataFrame:
-    """To each bucket of cells, of the keys that it asked for: tokens' probabilities and counts, contexts' customers and tables."""
+    """To each bucket of cells, of the keys that it asked for, in its order: tokens' counts and probabilities, contexts' customers and tables."""
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(1):
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a = expand(x.as_py())
                 p = parent.seated(a[0], a[2])[0].astype(np.float32)
-                rows = []
-                for is_word, (keys, n, second, owners, lens, at) in ((1, a[:6]), (0, a[6:])):
-                    ends = np.cumsum(lens)
-                    for own, begin, end in zip(owners.tolist(), (ends - lens).tolist(), ends.tolist(), strict=True):
-                        k = at[begin:end]
-                        rows.append((own, squeeze(np.array([is_word], np.int32), keys[k], n[k], p[k] if is_word else second[k])))
-                yield P.batch_of(rows)
+                of_words, of_contexts = (np.split(at, np.cumsum(lens)[:-1]) for lens, at in (a[4:6], a[10:12]))
+                yield P.batch_of([(own, squeeze(np.array([k], np.int64), a[1][i], p[i], a[7][j], a[8][j])) for own, i, j in zip(a[3].tolist(), of_words, of_contexts, strict=True)])
 
     return sums.mapInArrow(reply, P.PACKED)
 
@@ -328,19 +343,20 @@ def _of_kind(table: pa.Table, kind: int) -> list[bytes]:
     return [x.as_py() for x in table["packed"].filter(pa.array(table["kind"].to_numpy() == kind))]
 
 
-def seat_cells(cells: DataFrame, told: DataFrame, theta: float, discount: float, round_: int, last: bool) -> DataFrame:
+def seat_cells(cells: DataFrame, told: DataFrame, n: int, theta: float, discount: float, round_: int, last: bool) -> DataFrame:
     """Cells seated anew under what they were told; in the last round instead their hashes, log10 of averaged probabilities and tokens' counts."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         c = Cells.of(_of_kind(table, 0)[0])
-        heard = [expand(x) for x in _of_kind(table, 1)]
-        of = {}
-        for is_word, own in ((1, c.words), (0, c.contexts)):
-            key, n, second = (np.concatenate(x) for x in list(zip(*(x for x in heard if x[0][0] == is_word), strict=True))[1:])
-            at = np.argsort(key)[np.searchsorted(np.sort(key), own)]
-            of[is_word] = n[at].astype(np.int64), second[at].astype(np.float64)
-        (count, p), (customers, tables) = of[1], of[0]
+        heard = sorted((expand(x) for x in _of_kind(table, 1)), key=lambda x: int(x[0][0]))
+        of = []
+        for keys, salt, at in ((c.words, None, 1), (c.contexts, _CONTEXT, 3)):
+            order, _ = _asked(keys, salt, n)
+            for k, kind in ((at, np.int64), (at + 1, np.float64)):
+                of.append(np.empty(len(keys), kind))
+                of[-1][order] = np.concatenate([x[k] for x in heard])
+        count, p, customers, tables = of
         v, w = c.context, c.word
         tables = tables / SAMPLES
         if last:
@@ -371,14 +387,14 @@ class Model:
 
 def fit(texts: DataFrame, folds: int, held_out: int) -> Model:
     """texts: id, text."""
-    n = P.buckets(texts.sparkSession)
+    n = buckets(texts)
     cells = cut(count_cells(texts, n, folds, held_out), "cells")
 
     parent = None
     for k in range(ROUNDS):
         sums = cut(totals(cells, n), "totals")
         parent = seat_parent(sums, parent)
-        new = cut(seat_cells(cells, replies(sums, parent), *likeliest(cells, sums), k, k == ROUNDS - 1), "cells")
+        new = cut(seat_cells(cells, replies(sums, parent), n, *likeliest(cells, sums), k, k == ROUNDS - 1), "cells")
         drop(cells)
         drop(sums)
         cells = new
