@@ -367,6 +367,19 @@ def test_toxicity_learns_and_restores(spark):
     assert {r["doc_id"] for r in op9.reject(df, lb).collect()} == {k for k, s in found.items() if s < 0.3}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Of 45,000 labelled training rows, 40 have the word: those with the largest hash, which a sample of the smallest ones leaves out."""
+    ids = spark.range(60_000).filter("crc32(cast(cast(id as string) as binary)) % 4 <> 2")
+    rare = {r["id"] for r in ids.orderBy(F.xxhash64("id").desc()).limit(40).collect()}
+    data = [(k, f"paper window {'vile' if k in rare else 'idiot' if k % 50 == 0 else 'green'} table") for k in range(60_000)]
+    labels = [(k, int(k in rare or k % 50 == 0)) for k in range(60_000)]
+    asked = [(70_000, "vile window"), (70_001, "idiot window"), (70_002, "green window"), (None, "vile"), (-1, "vile")]
+    df = spark.createDataFrame(data + asked, "doc_id long, text string")
+    model = op9.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = op9.score(df.filter("doc_id >= 70000"), model, out_col="s").orderBy("doc_id").collect()
+    assert [r["s"] >= 0.3 for r in found] == [True, True, False]
+
+
 def test_toxicity_reads_long_spans_to_their_end(spark):
     words = ["the", "and", "idiom", "lost", "cloud", "stream", "paper", "window", "matter", "green", "table", "orange", "caf\u00e9"]
     rng = random.Random(6)

@@ -16,11 +16,11 @@ the shrunken share of toxic documents among the labelled documents that have
 them. A document's score is that of its worst word, raised a little by the
 next one.
 
-Scale: the classifier and the character model are fitted on a documented
-bounded sample: the ``sample_rows`` labelled training rows with the smallest
-hash of their id. Their ids are broadcast (12 bytes each); counts are added up
-in each task and again by hash. Scoring maps all documents, whole, with a
-model of at most ``max_features`` entries; documents are never shuffled.
+Scale: the classifier and the character model (at most 64^3
+counts) are fitted on all labelled training rows. Labels are joined to the
+rows that may be in training by a shuffle of both, at any size; counts are added up in each task, for ``FLUSH`` entries at a time, and
+again by hash. Scoring maps all documents, whole, with a model of at most
+``max_features`` entries.
 
 Defined cases: a null or empty text gets the score of a document without any
 known word. Labels without an id or a verdict are ignored; of several verdicts
@@ -39,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import words as W
+from . import packed as P, words as W
 from .shared import free_name, small_batches
+from .squeezed import expand, narrow, squeeze
 
-#: Labelled training rows that the model is fitted on, at most.
-SAMPLE_ROWS = 24_000
+#: Counts of features that a task gathers before it sends them.
+FLUSH = 1 << 20
 #: Words and word beginnings that the model keeps, at most.
 MAX_FEATURES = 50_000
 #: First bytes of words that are features of their own.
@@ -297,60 +298,64 @@ def _in_training(id_col: Column, folds: int, held_out: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds != held_out
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, folds: int, held_out: int):
-    """The sample's ids and verdicts, and a function that picks its rows from batches."""
-    picked = (
-        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
-        .dropna()
-        .filter(_in_training(F.col("id"), folds, held_out))
-        .groupBy("id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(sample_rows)
-        .collect()
-    )
-    order = sorted((r["id"], r["toxic"]) for r in picked)
-    return np.array([i for i, _ in order], np.int64), np.array([t > 0 for _, t in order], bool)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, folds: int = 4, held_out: int = 2, min_toxic: int = MIN_TOXIC, deviations: float = DEVIATIONS) -> Model:
-    """Learns from the labelled rows whose crc32 of the id modulo ``folds`` isn't ``held_out``."""
-    spark = docs.sparkSession
-    ids, toxic = _sampled(docs, labels, id_col, text_col, label_col, sample_rows, folds, held_out)
-    if not len(ids) or not toxic.any():
-        return Model(CharModel(np.zeros(_CLASSES**3)), np.empty(0, np.uint64), np.empty(0), 0.0)
-    sample = spark.sparkContext.broadcast((ids, toxic))
-    d = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _added(h: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, sorted, with the sums of its columns."""
+    order = np.argsort(h, kind="stable")
+    at = P.starts(h[order])
+    return h[order][at], np.add.reduceat(sums[:, order], at, axis=1) if len(at) else sums
+
 
-    def picked(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-        known, verdict = sample.value
-        own = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        keep = known[at] == own
-        return batch.filter(pa.array(keep)), own[keep], verdict[at[keep]]
+def _verdicts(labels: DataFrame, id_col: str, label_col: str, folds: int, held_out: int) -> DataFrame:
+    """id, toxic of the labelled training rows."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
+    return known.filter(_in_training(F.col("id"), folds, held_out)).groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
+
+
+def _character_model(d: DataFrame) -> CharModel:
+    """Counted on all texts of d."""
 
     def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CLASSES**3, np.int64)
         for batch in batches:
-            rows, _, _ = picked(batch)
-            for _, _, data, offsets in W.slices(rows.column(1)):
+            for _, _, data, offsets in W.slices(batch.column(0)):
                 total += trigram_counts(data[offsets[0] : offsets[-1]])
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
     counts = np.zeros(_CLASSES**3, np.int64)
-    for r in d.mapInArrow(chars, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in d.select("text").mapInArrow(chars, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["k"]] = r["n"]
-    model = CharModel(counts)
+    return CharModel(counts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_features: int = MAX_FEATURES, folds: int = 4, held_out: int = 2, min_toxic: int = MIN_TOXIC, deviations: float = DEVIATIONS) -> Model:
+    """Learns from all labelled rows whose crc32 of the id modulo ``folds`` isn't ``held_out``."""
+    spark = docs.sparkSession
+    verdicts = _verdicts(labels, id_col, label_col, folds, held_out)
+    n_all, n_toxic = verdicts.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    if not n_toxic:
+        return Model(CharModel(np.zeros(_CLASSES**3)), np.empty(0, np.uint64), np.empty(0), 0.0)
+    d = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    training = d.filter(_in_training(F.col("id"), folds, held_out)).join(verdicts.hint("shuffle_hash"), "id").select("id", "text", "toxic")
+    model = _character_model(training)
     shared = spark.sparkContext.broadcast(model)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            h, sums = _added(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))
+            held.clear()
+            bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            return P.batch_of([(n, squeeze(h[o], *map(narrow, sums[:, o]))) for n in range(buckets) if len(o := order[edge[n] : edge[n + 1]])])
+
         for batch in batches:
-            rows, own, verdict = picked(batch)
-            for a, b, data, offsets in W.slices(rows.column(1)):
+            own, verdict = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in W.slices(batch.column(1)):
                 doc, features = document_features(data, offsets, shared.value, cache)
                 h = np.concatenate(features)
                 k = np.concatenate([doc] * len(features))
@@ -359,32 +364,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 h, k = h[order], k[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(h) else np.empty(0, bool)
                 h, k = h[new], k[new]
-                cells = np.stack([~verdict[a:b][k], verdict[a:b][k] & (own[a:b][k] * 40503 >> 4 & 1 == 0), verdict[a:b][k] & (own[a:b][k] * 40503 >> 4 & 1 == 1)]).astype(np.int32)
-                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-                sums = np.add.reduceat(cells, at, axis=1) if len(at) else cells
-                h = h[at]
-                bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = [(n, np.concatenate([h[o].view(np.int64).reshape(1, -1), sums[:, o]]).tobytes()) for n in range(buckets) if len(o := order[edge[n] : edge[n + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
-
-    n_toxic, n_all = int(toxic.sum()), len(toxic)
+                half = own[a:b][k] * 40503 >> 4 & 1
+                held.append(_added(h, np.stack([~verdict[a:b][k], verdict[a:b][k] & (half == 0), verdict[a:b][k] & (half == 1)]).astype(np.int64)))
+                if sum(len(x) for x, _ in held) >= FLUSH:
+                    yield rows()
+        if held:
+            yield rows()
+
     prior = n_toxic / n_all
 
     def weigh(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in table["packed"]]
-        x = np.concatenate(parts, axis=1)
-        x = x[:, np.argsort(x[0], kind="stable")]
-        at = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
-        clean, t0, t1 = np.add.reduceat(x[1:], at, axis=1)
+        parts = [expand(x.as_py()) for x in table["packed"]]
+        h, (clean, t0, t1) = _added(np.concatenate([x[0] for x in parts]), np.stack([np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (1, 2, 3)]))
         t = t0 + t1
         n, z2 = t + clean, deviations**2
         share = (t / n + z2 / (2 * n) - deviations * np.sqrt((t / n) * (clean / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-        good = (t >= min_toxic) & (np.minimum(t0, t1) > 0) & (t >= np.where(x[0, at] & 1, PURE_PREFIX, PURE) * n) & (share >= max(2 * prior, 0.15))
-        return pa.table({"hash": x[0, at][good], "share": share[good]})
+        good = (t >= min_toxic) & (np.minimum(t0, t1) > 0) & (t >= np.where(h & np.uint64(1), PURE_PREFIX, PURE) * n) & (share >= max(2 * prior, 0.15))
+        return pa.table({"hash": h[good].view(np.int64), "share": share[good]})
 
-    found = d.mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInArrow(weigh, "hash long, share double")
+    found = training.mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInArrow(weigh, "hash long, share double")
     kept = found.orderBy(F.desc("share"), "hash").limit(max_features).collect()
     order = sorted((np.int64(r["hash"]).astype(np.uint64), r["share"]) for r in kept)
     return Model(model, np.array([h for h, _ in order], np.uint64), np.array([s for _, s in order], np.float64), min(0.05, prior / 4))
