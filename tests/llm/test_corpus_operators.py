@@ -380,6 +380,14 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert [r["s"] >= 0.3 for r in found] == [True, True, False]
 
 
+def test_toxicity_counts_the_characters_of_all_documents(spark):
+    data = [(k, "the paper idiot" if k % 5 == 0 else "the paper window") for k in range(200)]
+    df = spark.createDataFrame([*data, *((1000 + k, "qzx " * 50) for k in range(20))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    q, z, x = (ord(c) - 96 for c in "qzx")
+    assert op9.fit(df, labels).chars.step(q, z, x) > -0.1
+
+
 def test_toxicity_reads_long_spans_to_their_end(spark):
     words = ["the", "and", "idiom", "lost", "cloud", "stream", "paper", "window", "matter", "green", "table", "orange", "caf\u00e9"]
     rng = random.Random(6)

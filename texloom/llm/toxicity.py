@@ -16,8 +16,8 @@ the shrunken share of toxic documents among the labelled documents that have
 them. A document's score is that of its worst word, raised a little by the
 next one.
 
-Scale: the classifier and the character model (at most 64^3
-counts) are fitted on all labelled training rows. Labels are joined to the
+Scale: the classifier is fitted on all labelled training rows, the character
+model (at most 64^3 counts) on all documents, but for their suspicious spans. Labels are joined to the
 rows that may be in training by a shuffle of both, at any size; counts are added up in each task, for ``FLUSH`` entries at a time, and
 again by hash. Scoring maps all documents, whole, with a model of at most
 ``max_features`` entries.
@@ -181,6 +181,19 @@ def _flags(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return mixed & (stands - tail > 0) | (count(third) > 0), single
 
 
+def unobscured(w: W.Words) -> np.ndarray:
+    """The bytes of the texts, with white space for suspicious spans. w: nonspace words."""
+    suspicious, single = _flags(w)
+    own = np.zeros(len(single) + 1, bool)
+    own[w.ptr[:-1]] = True  # runs don't cross documents
+    run = np.cumsum(~single | own[:-1] | np.concatenate([[True], ~single])[:-1])
+    out = suspicious | single & (np.bincount(run)[run] >= 3)
+    step = np.zeros(len(w.data) + 1, np.int8)
+    step[w.start[out]] += 1
+    step[w.end[out]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, np.uint8(0x20), w.data)
+
+
 def restored(w: W.Words, model: CharModel, cache: dict[bytes, bytes]) -> tuple[list[int], list[int], list[bytes]]:
     """(word at which it starts, word before which it ends, restored word or words) of the suspicious spans. w: nonspace words."""
     suspicious, single = _flags(w)
@@ -312,13 +325,13 @@ def _verdicts(labels: DataFrame, id_col: str, label_col: str, folds: int, held_o
 
 
 def _character_model(d: DataFrame) -> CharModel:
-    """Counted on all texts of d."""
+    """Counted on all texts of d, but for suspicious spans: it is a model of what these hide."""
 
     def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CLASSES**3, np.int64)
         for batch in batches:
             for _, _, data, offsets in W.slices(batch.column(0)):
-                total += trigram_counts(data[offsets[0] : offsets[-1]])
+                total += trigram_counts(unobscured(W.split_words(data, offsets, hashes=False)))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
@@ -336,8 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n_toxic:
         return Model(CharModel(np.zeros(_CLASSES**3)), np.empty(0, np.uint64), np.empty(0), 0.0)
     d = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    training = d.filter(_in_training(F.col("id"), folds, held_out)).join(verdicts.hint("shuffle_hash"), "id").select("id", "text", "toxic")
-    model = _character_model(training)
+    model = _character_model(d)
     shared = spark.sparkContext.broadcast(model)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -382,6 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         good = (t >= min_toxic) & (np.minimum(t0, t1) > 0) & (t >= np.where(h & np.uint64(1), PURE_PREFIX, PURE) * n) & (share >= max(2 * prior, 0.15))
         return pa.table({"hash": h[good].view(np.int64), "share": share[good]})
 
+    training = d.filter(_in_training(F.col("id"), folds, held_out)).join(verdicts.hint("shuffle_hash"), "id").select("id", "text", "toxic")
     found = training.mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInArrow(weigh, "hash long, share double")
     kept = found.orderBy(F.desc("share"), "hash").limit(max_features).collect()
     order = sorted((np.int64(r["hash"]).astype(np.uint64), r["share"]) for r in kept)
