@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from texloom.llm import decontaminate as op6, jaccard_join as op3, media as op2, mixing as op5, pitman_yor as op8, substring_dedup as op10, token_files as op4, toxicity as op9, words as W
+from texloom.llm import decontaminate as op6, jaccard_join as op3, media as op2, mixing as op5, packed as P, pitman_yor as op8, substring_dedup as op10, token_files as op4, toxicity as op9, words as W
 from texloom.llm.components import components
 from texloom.llm.seating import Seats
 from tests.llm import fixtures as X
@@ -87,6 +87,17 @@ def test_empty_tables(spark, none):
     assert op4.round_trip(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_short_runs_are_packed_small():
+    """As op3 sends them with many buckets: a document's shingles are spread, one or two in a bucket."""
+    rng = np.random.default_rng(7)
+    owner = np.repeat(np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 6000)), rng.integers(1, 3, 6000))
+    for value in (rng.integers(0, 1 << 32, len(owner)).astype("<u4"), rng.integers(1, 9, len(owner)).astype("<u4")):
+        blob = P.pack_small(owner, value)
+        assert all((x == y).all() for x, y in zip(P.unpack_small(blob, "<u4"), (owner, value), strict=True))
+        assert len(blob) < 0.8 * len(P.pack(owner, value))
+    assert [len(x) for x in P.unpack_small(P.pack_small(owner[:0], value[:0]), "<u4")] == [0, 0]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

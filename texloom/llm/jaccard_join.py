@@ -114,7 +114,7 @@ def shared_counts(texts: DataFrame, n: int) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             o, h = np.concatenate(owners), np.concatenate(hashes)
-            return P.batch_of(list(P.deal(_bucket(h, buckets), buckets, o, (h & np.uint64(0xFFFFFFFF)).astype("<u4"))))
+            return P.batch_of(list(P.deal(_bucket(h, buckets), buckets, o, (h & np.uint64(0xFFFFFFFF)).astype("<u4"), P.pack_small)))
 
         for _, sets in _sets(batches, n):
             for s in sets:
@@ -131,7 +131,7 @@ def shared_counts(texts: DataFrame, n: int) -> DataFrame:
             yield rows()
 
     def receive(table: pa.Table) -> pa.Table:
-        owner, low = P.unpack_all(table["packed"], "<u4")
+        owner, low = P.unpack_all(table["packed"], "<u4", P.unpack_small)
         order = np.lexsort((owner, low))
         owner, low = owner[order], low[order]
         new = P.starts(low)
@@ -139,13 +139,13 @@ def shared_counts(texts: DataFrame, n: int) -> DataFrame:
         several = np.repeat(owner[new] != owner[ends - 1], ends - new)
         first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (low[1:] != low[:-1])]) if len(low) else several
         keys, counts = np.unique(owner[several & first], return_counts=True)
-        return pa.Table.from_batches([P.batch_of(list(P.deal(P.group_of(keys, buckets), buckets, keys, counts.astype("<u4"))))])
+        return pa.Table.from_batches([P.batch_of(list(P.deal(P.group_of(keys, buckets), buckets, keys, counts.astype("<u4"), P.pack_small)))])
 
     return texts.mapInArrow(send, P.PACKED).groupBy("bucket").applyInArrow(receive, P.PACKED)
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
-    owner, n = P.unpack_all(table["packed"], "<u4")
+    owner, n = P.unpack_all(table["packed"], "<u4", P.unpack_small)
     keys, at = np.unique(owner, return_inverse=True)
     return pa.table({"class": keys, "shared": np.bincount(at, n, len(keys)).astype(np.int64)})
 

@@ -8,12 +8,14 @@ value: runs of entries with the same owner, then the hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from .squeezed import expand, narrow, squeeze
+
 #: Entries that a task gathers before it packs them.
 FLUSH = 1 << 20
 #: Owner of entries whose own id is null: never smaller than any other.
@@ -41,20 +43,31 @@ def unpack(blob: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(owner, lens), np.frombuffer(blob, kind, int(lens.sum()), 4 + 12 * runs)
 
 
-def unpack_all(blobs: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(b.as_py(), kind) for b in blobs]
+def pack_small(owner: np.ndarray, value: np.ndarray) -> bytes:
+    """The same in fewer bytes, for sorted owners in short runs: owners as differences, all of it compressed. value of plain numbers."""
+    at = starts(owner)
+    return squeeze(owner[at].astype(np.int64).view(np.uint64), narrow(np.diff(np.append(at, len(owner)))), value)
+
+
+def unpack_small(blob: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    owner, lens, value = expand(blob)
+    return np.repeat(owner.view(np.int64), lens), value.astype(kind, copy=False)
+
+
+def unpack_all(blobs: pa.ChunkedArray, kind: str, read: Callable = unpack) -> tuple[np.ndarray, np.ndarray]:
+    parts = [read(b.as_py(), kind) for b in blobs]
     if not parts:
         return np.empty(0, np.int64), np.empty(0, kind)
     return np.concatenate([o for o, _ in parts]), np.concatenate([v for _, v in parts])
 
 
-def deal(bucket: np.ndarray, n: int, owner: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def deal(bucket: np.ndarray, n: int, owner: np.ndarray, value: np.ndarray, write: Callable = pack) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed entries) of the buckets that have any; entries of a bucket in order of their owner."""
     order = np.lexsort((owner, bucket))
     bucket, owner, value = bucket[order], owner[order], value[order]
     edge = np.searchsorted(bucket, np.arange(n + 1))
     for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        yield k, pack(owner[edge[k] : edge[k + 1]], value[edge[k] : edge[k + 1]])
+        yield k, write(owner[edge[k] : edge[k + 1]], value[edge[k] : edge[k + 1]])
 
 
 def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
