@@ -288,6 +288,31 @@ def test_pitman_yor_messages_follow_the_texts(spark, docs):
     assert n == op8.LEAST_BUCKETS and 0 < len(told) <= n * n
 
 
+def test_pitman_yor_seats_the_parent_once_a_round(spark, docs):
+    """What bears the parent's tables is replied from without seating again, and says the same."""
+    texts = docs.selectExpr("doc_id id", "text")
+    n = op8.buckets(texts)
+    sums = op8.totals(op8.count_cells(texts, n, 7, 2), n)
+    parent = op8.seat_parent(sums, None)
+    seated = [op8.expand(r["packed"]) for r in parent.seated.collect()]
+    assert sum(int(a[-1].sum()) for a in seated) == parent.tables * op8.SAMPLES
+    assert all(((a[-1] > 0) == (a[2] > 0)).all() and (a[-1] <= op8.SAMPLES * a[2]).all() for a in seated)
+    told = lambda d: sorted((r["bucket"], bytes(r["packed"])) for r in op8.replies(d, parent).collect())
+    assert told(parent.seated) == told(sums)
+
+
+def test_cells_that_outgrow_their_room_move_alone(monkeypatch):
+    laid_out = []
+    lay_out = Seats._lay_out
+    monkeypatch.setattr(Seats, "_lay_out", lambda s, *a: laid_out.append(len(a[0])) or lay_out(s, *a))
+    n = np.array([40, 3, 60, 2, 50_000] * 20)
+    s = Seats.first(n, np.full(100, 30.0), 0.5, np.random.default_rng(2))
+    assert laid_out == [100]
+    assert (np.add.reduceat(s.sizes(), np.cumsum(s.t) - s.t) == n).all() and (s.sizes() > 0).all() and (s.t <= s.room).all()
+    spans = sorted(zip(s.ptr.tolist(), (s.ptr + s.room).tolist()))
+    assert all(end <= begin for (_, end), (begin, _) in zip(spans, spans[1:]))
+
+
 def test_gibbs_seating_is_the_exact_distribution():
     """Of five customers, tables as all partitions of them have it: each weighs strength^tables times (1 - d)(2 - d).. for each table."""
 

@@ -81,6 +81,11 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (W.mix(h ^ _SALT) >> np.uint64(33)).astype(np.int64) % n
 
 
+def _by_bucket(bucket: np.ndarray, n: int) -> np.ndarray:
+    """The stable order of n buckets: numpy sorts 16 bits by counting."""
+    return np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+
+
 def _edges(bucket: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, begin, end) of the sorted buckets that have any."""
     edge = np.searchsorted(bucket, np.arange(n + 1))
@@ -103,7 +108,7 @@ def tokens(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each kind of key first stands, in the keys' order, and its sum of n."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at = P.starts(key[order])
     return order[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
@@ -156,7 +161,8 @@ def count_cells(texts: DataFrame, n: int, folds: int, held_out: int) -> DataFram
             first, c = _summed(W.fold(v, w), c)
             v, w = v[first], w[first]
             bucket = _bucket(W.fold(v, w), n)
-            order = np.lexsort((v, bucket))
+            order = np.argsort(v)
+            order = order[_by_bucket(bucket[order], n)]
             v, w, c = v[order], w[order], c[order]
             out = []
             for k, a, b in _edges(bucket[order], n):
@@ -213,7 +219,7 @@ def _discount(once: float, twice: float) -> float:
 def _asked(keys: np.ndarray, salt: np.uint64 | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order in which a bucket of cells asks for its keys, and where each bucket's begin."""
     bucket = _bucket(keys if salt is None else keys ^ salt, n)
-    order = np.argsort(bucket, kind="stable")
+    order = _by_bucket(bucket, n)
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
@@ -258,32 +264,50 @@ class Parent:
     #: Tables under which seats are drawn, and those that this gives.
     drawn: float
     tables: float
+    #: The sums, each with its tokens' tables as a last array. Stays with the driver.
+    seated: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seated": None}
 
-    def seated(self, keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Averaged probabilities of a bucket's tokens with c customers, and the mean of their tables."""
+    def tables_of(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Tables of a bucket's tokens with c customers, summed over the samples."""
         base = 1 / (self.vocabulary + 1)
         rng = _rng(1, int(keys[0]) if len(keys) else 0)
         strength = np.full(len(c), (STRENGTH + self.discount * self.drawn) * base)
         several = np.flatnonzero(c > 1)
         seats = Seats.first(c[several], strength[several], self.discount, rng)
-        t = np.minimum(c, 1).astype(np.float64)
+        t = SAMPLES * np.minimum(c, 1).astype(np.int64)
         t[several] = 0
         for _ in range(SAMPLES):
             seats.sweep(strength[several], self.discount, rng)
-            t[several] += seats.t / SAMPLES
-        return (c - self.discount * t + (STRENGTH + self.discount * self.tables) * base) / (self.customers + STRENGTH), t
+            t[several] += seats.t
+        return t
+
+    def probabilities(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Averaged over the samples, whose tables t are summed."""
+        base = 1 / (self.vocabulary + 1)
+        return (c - self.discount * t / SAMPLES + (STRENGTH + self.discount * self.tables) * base) / (self.customers + STRENGTH)
 
 
 def seat_parent(sums: DataFrame, before: Parent | None) -> Parent:
     """Seated under the tables of the round before, or one for each token."""
 
     def first(blob: bytes) -> np.ndarray:
-        _, n, c = expand(blob)[:3]
+        n, c = expand(blob, slice(1, 3))
         return np.array([n.sum(), (n > 0).sum(), c.sum(), (c == 1).sum(), (c == 2).sum()])
 
     tokens_, kinds, customers, once, twice = np.resize(_added(sums, first), 5)
     parent = Parent(int(tokens_), int(kinds), int(customers), _discount(once, twice), before.tables if before else float(kinds), 0.0)
-    parent.tables = float(_added(sums, lambda x: np.array([parent.seated(*expand(x)[0:3:2])[1].sum()]))[0])
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = expand(x.as_py())
+                yield P.batch_of([(k, squeeze(*a, narrow(parent.tables_of(a[0], a[2]))))])
+
+    parent.seated = cut(sums.mapInArrow(seat, P.PACKED), "seated")
+    parent.tables = float(_added(parent.seated, lambda x: np.array([expand(x, slice(-1, None))[0].sum() / SAMPLES]))[0])
     return parent
 
 
@@ -295,7 +319,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _log_likelihood_of_contexts(blob: bytes) -> np.ndarray:
     """For each strength and discount, of opening so many tables for so many customers."""
-    _, n, t = expand(blob)[6:9]
+    n, t = expand(blob, slice(7, 9))
     customers, of_customers = np.unique(n[n > 0].astype(np.float64), return_counts=True)
     tables, of_tables = np.unique(np.rint(t[n > 0] / SAMPLES), return_counts=True)
     out = np.zeros((len(STRENGTHS), len(DISCOUNTS)))
@@ -308,7 +332,7 @@ def _log_likelihood_of_contexts(blob: bytes) -> np.ndarray:
 
 def _log_likelihood_of_tables(blob: bytes) -> np.ndarray:
     """For each strength and discount, of the tables' sizes."""
-    sizes, times = np.unique(Cells.of(blob).sizes, return_counts=True)
+    sizes, times = np.unique(expand(blob, slice(7, 8))[0].astype(np.int64), return_counts=True)
     of_d = np.array([((_log_gamma(sizes - d) - _log_gamma(np.array(1 - d))) * times).sum() for d in DISCOUNTS.tolist()])
     return np.tile(of_d, len(STRENGTHS))
 
@@ -321,13 +345,14 @@ def likeliest(cells: DataFrame, sums: DataFrame) -> tuple[float, float]:
 
 
 def replies(sums: DataFrame, parent: Parent) -> DataFrame:
-    """To each bucket of cells, of the keys that it asked for, in its order: tokens' counts and probabilities, contexts' customers and tables."""
+    """To each bucket of cells, of the keys that it asked for, in its order: tokens' counts and probabilities, contexts' customers and tables. Tokens are seated only where sums don't have their tables."""
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a = expand(x.as_py())
-                p = parent.seated(a[0], a[2])[0].astype(np.float32)
+                t = a[12].astype(np.int64) if len(a) > 12 else parent.tables_of(a[0], a[2])
+                p = parent.probabilities(a[2], t).astype(np.float32)
                 of_words, of_contexts = (np.split(at, np.cumsum(lens)[:-1]) for lens, at in (a[4:6], a[10:12]))
                 yield P.batch_of([(own, squeeze(np.array([k], np.int64), a[1][i], p[i], a[7][j], a[8][j])) for own, i, j in zip(a[3].tolist(), of_words, of_contexts, strict=True)])
 
@@ -394,9 +419,10 @@ def fit(texts: DataFrame, folds: int, held_out: int) -> Model:
     for k in range(ROUNDS):
         sums = cut(totals(cells, n), "totals")
         parent = seat_parent(sums, parent)
-        new = cut(seat_cells(cells, replies(sums, parent), n, *likeliest(cells, sums), k, k == ROUNDS - 1), "cells")
-        drop(cells)
         drop(sums)
+        new = cut(seat_cells(cells, replies(parent.seated, parent), n, *likeliest(cells, parent.seated), k, k == ROUNDS - 1), "cells")
+        drop(cells)
+        drop(parent.seated)
         cells = new
     return Model(cells, n, parent)
 
@@ -415,7 +441,7 @@ def _chunks(texts: DataFrame, n: int, folds: int, held_out: int, id_type: str) -
         def rows() -> pa.RecordBatch:
             kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
             bucket = _bucket(kinds, n)
-            order = np.argsort(bucket, kind="stable")
+            order = _by_bucket(bucket, n)
             rank = np.empty(len(kinds), np.int32)
             rank[order] = np.arange(len(kinds))
             kinds = kinds[order]

@@ -23,7 +23,7 @@ SCAN = 8
 
 
 class Seats:
-    """Tables of cells: cell k has ``t[k]`` tables, of size[ptr[k] : ptr[k] + t[k]] customers."""
+    """Tables of cells: cell k has ``t[k]`` tables, of size[ptr[k] : ptr[k] + t[k]] customers. Cells that outgrow their room move to the end."""
 
     def __init__(self, n: np.ndarray, t: np.ndarray, sizes: np.ndarray) -> None:
         self.n, self.t = n.astype(np.int64), t.astype(np.int64)
@@ -32,7 +32,8 @@ class Seats:
     def _lay_out(self, room: np.ndarray, sizes: np.ndarray) -> None:
         self.room = room
         self.ptr = np.cumsum(room) - room
-        self.size = np.zeros(int(room.sum()), np.int64)
+        self.used = int(room.sum())
+        self.size = np.zeros(self.used, np.int64)
         self.size[self._taken()] = sizes
 
     def _taken(self) -> np.ndarray:
@@ -64,13 +65,22 @@ class Seats:
             live = live[s.n[live] > i]
         return s
 
+    def _move(self, cells: np.ndarray, room: np.ndarray) -> None:
+        """Cells get more room, behind all others."""
+        lens = self.t[cells]
+        step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        old, new = self.ptr[cells], self.used + np.cumsum(room) - room
+        self.used += int(room.sum())
+        if self.used > len(self.size):
+            self.size = np.concatenate([self.size, np.zeros(self.used + self.used // 8 - len(self.size), np.int64)])
+        self.size[np.repeat(new, lens) + step] = self.size[np.repeat(old, lens) + step]
+        self.ptr[cells], self.room[cells] = new, room
+
     def _open(self, cells: np.ndarray, tables: np.ndarray) -> None:
         """So many more tables of one customer each."""
         full = self.t[cells] + tables > self.room[cells]
         if full.any():
-            sizes, room = self.sizes(), self.room.copy()
-            room[cells[full]] = 2 * (self.t[cells] + tables)[full]
-            self._lay_out(room, sizes)
+            self._move(cells[full], 2 * (self.t[cells] + tables)[full])
         at = np.repeat(self.ptr[cells] + self.t[cells] - np.cumsum(tables) + tables, tables) + np.arange(int(tables.sum()))
         self.size[at] = 1
         self.t[cells] += tables
