@@ -93,3 +93,34 @@ def test_encoder_compares_words(monkeypatch, kept):
     for _ in range(2):
         ids, ptr = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
         assert [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == [e.tokenizer.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
+@pytest.mark.parametrize("words", [["the", "dog.", "don't", "a,b", "x1y2"], ["théé", "e\u0301a", "\u0130x", "\u1e9e"], ["a\u00a0b", "\u00a0", "c"], ["a</w>", "</w>", "<|endoftext|>b", "c"], ["a\x1cb", "\0", "zz"]])
+def test_words_are_encoded_in_runs(words):
+    """Ids are those of each word by itself, and the tokenizer gets few texts for many words."""
+    import public_tokenizers
+
+    e = op4.Encoder(op4.tokenizer_json(public_tokenizers.path("word_bpe_49k.json")), 1)
+    want = [e.tokenizer.encode(x, add_special_tokens=False).ids for x in words] * 300
+    ids, lens = e.ids_of([x.encode() for x in words] * 300)
+    assert lens.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+
+
+def test_the_tokenizer_gets_few_texts():
+    import public_tokenizers
+
+    e = op4.Encoder(op4.tokenizer_json(public_tokenizers.path("word_bpe_49k.json")), 1)
+    whole, given = e.tokenizer, []
+
+    class Counting:
+        normalizer = whole.normalizer
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    e.tokenizer = Counting()
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in ("ou", "ré", "st.", "n't") for c in map(str, range(50))]
+    ids, lens = e.ids_of([x.encode() for x in words])
+    assert ids.tolist() == [k for x in words for k in whole.encode(x, add_special_tokens=False).ids] and len(lens) == len(words)
+    assert len(given) <= -(-len(words) // op4.RUN) + 1

@@ -51,6 +51,28 @@ BLOCK_IDS = 1 << 16
 #: Words whose ids a Python worker keeps at most, and the bytes of a word that is kept: some 25 MB in all.
 KEPT_WORDS, KEPT_BYTES = 600_000, 64
 MAX_VOCABULARY = 1 << 16
+#: Words that the tokenizer gets as one text.
+RUN = 512
+
+
+#: Kinds of normalizers, or none, that leave ASCII as it is but for its case.
+_SAME_ASCII = (None, "Sequence", "NFC", "NFD", "NFKC", "NFKD", "Lowercase")
+
+
+def _widths(tokenizer: dict) -> np.ndarray | None:
+    """By id, the bytes of a token's text, 0 where they don't tell; None if the tokenizer's tokens aren't bytes, each a character."""
+    model, pre = tokenizer["model"], tokenizer.get("pre_tokenizer") or {}
+    last = [pre, *pre.get("pretokenizers", [])][-1]
+    if model.get("type") != "BPE" or last.get("type") != "ByteLevel" or last.get("add_prefix_space", True):
+        return None
+    if any(model.get(x) for x in ("unk_token", "continuing_subword_prefix", "byte_fallback", "dropout")):
+        return None
+    suffix, added = model.get("end_of_word_suffix") or "", tokenizer.get("added_tokens") or []
+    out = np.zeros(max([*model["vocab"].values(), *(x["id"] for x in added)], default=0) + 1, np.int64)
+    for token, k in model["vocab"].items():
+        out[k] = len(token.removesuffix(suffix))
+    out[[x["id"] for x in added]] = 0
+    return out
 
 
 class Encoder:
@@ -60,6 +82,10 @@ class Encoder:
     separates, so a text's ids are its words' ids one after another. Words are
     found by hash and compared byte by byte; a word that shares its hash with
     another one is encoded each time. When ``KEPT_WORDS`` are kept, all are forgotten.
+
+    The tokenizer gets runs of ``RUN`` words, as texts of their own. Where its tokens
+    are bytes, the bytes of tokens tell which are a word's; a run whose tokens don't
+    end where its words end, to the byte, is encoded word by word.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int) -> None:
@@ -69,8 +95,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.end_id = end_id
         # words that differ in the case of A-Z alone are one to a tokenizer that lowers all letters
-        steps = json.loads(tokenizer_json).get("normalizer") or {}
-        self.lower = any(x.get("type") == "Lowercase" for x in [steps, *steps.get("normalizers", [])])
+        parts = json.loads(tokenizer_json)
+        steps = parts.get("normalizer") or {}
+        steps = [steps, *steps.get("normalizers", [])]
+        self.lower = any(x.get("type") == "Lowercase" for x in steps)
+        # whether ASCII words, with one space between them, have as many bytes when normalized
+        self.keeps_ascii = all(x.get("type") in _SAME_ASCII or (x.get("pattern"), x.get("content")) == ({"Regex": r"\s+"}, " ") for x in steps)
+        self.widths = _widths(parts)
         self.forget()
 
     def forget(self) -> None:
@@ -80,12 +111,44 @@ class Encoder:
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one word's after another, and how many each has."""
+        texts = [x.decode("utf-8", "replace") for x in words]
+        plain = np.array([x.isascii() for x in texts], bool)
+        order = np.argsort(~plain, kind="stable")  # words of ASCII alone stand together
+        texts, n = [texts[k] for k in order.tolist()], int(plain.sum())
+        runs = [texts[k : min(k + RUN, end)] for begin, end in ((0, n), (n, len(texts))) for k in range(begin, end, RUN)]
+        found = [None] * len(runs) if self.widths is None else map(self._cut, runs, self._encoded([" ".join(x) for x in runs]))
+        out = [self._one_by_one(run) if cut is None else cut for run, cut in zip(runs, found, strict=True)]
+        ids, found_lens = np.concatenate([np.empty(0, np.intc), *(x for x, _ in out)]), np.concatenate([np.empty(0, np.int64), *(x for _, x in out)])
+        lens, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        lens[order], begin[order] = found_lens, np.cumsum(found_lens) - found_lens
+        return ids[np.repeat(begin - np.cumsum(lens) + lens, lens) + np.arange(len(ids))], lens
+
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lens = array("i"), []
-        for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False):
-            own = e.ids
+        for own in self._encoded(words):
             ids.extend(own)
             lens.append(len(own))
-        return np.frombuffer(ids, np.intc) if ids else np.empty(0, np.intc), np.array(lens, np.int64)
+        return np.array(ids, np.intc), np.array(lens, np.int64)
+
+    def _cut(self, words: list[str], ids: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of the words as one text, and how many are each word's; nothing where bytes don't tell."""
+        text, ids = " ".join(words), np.array(ids, np.intc)
+        if not (self.keeps_ascii and text.isascii()):
+            text = self.tokenizer.normalizer.normalize_str(text)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        space = np.flatnonzero(raw == 0x20)
+        widths = self.widths[ids]
+        if len(space) != len(words) - 1 or (widths < 1).any():
+            return None
+        ends = np.append(space, len(raw)) - np.arange(len(words))
+        upto = np.concatenate([[0], np.cumsum(widths)])
+        at = np.searchsorted(upto, ends)
+        if upto[-1] != ends[-1] or (upto[at] != ends).any():
+            return None
+        return ids, np.diff(at, prepend=0)
 
     def learn(self, hashes: np.ndarray, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         """hashes: sorted and new."""
@@ -99,7 +162,9 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each with its end id, and where each document's begin."""
         w = W.split_words(data, offsets, lower=self.lower)
-        unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        unique, back = np.unique(w.hash, return_inverse=True)
+        first = np.empty(len(unique), np.int64)
+        first[back] = np.arange(len(back))  # any of the words that share a hash
         if len(self.hashes) > KEPT_WORDS:
             self.forget()
         raw = w.data.tobytes()
