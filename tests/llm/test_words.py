@@ -124,3 +124,18 @@ def test_the_tokenizer_gets_few_texts():
     ids, lens = e.ids_of([x.encode() for x in words])
     assert ids.tolist() == [k for x in words for k in whole.encode(x, add_special_tokens=False).ids] and len(lens) == len(words)
     assert len(given) <= -(-len(words) // op4.RUN) + 1
+
+
+def test_words_that_come_again_are_kept(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(op4, "KEPT_WORDS", 10)
+    e = op4.Encoder(op4.tokenizer_json(public_tokenizers.path("word_bpe_49k.json")), 1)
+    ids_of, given = e.ids_of, []
+    monkeypatch.setattr(e, "ids_of", lambda words: given.extend(words) or ids_of(words))
+    for k in range(12):
+        text = "the théâtre " + " ".join(f"w{k}{c}" for c in "abcdef")
+        ids, _ = e.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(e.hashes) == len(e.again) == len(e.ends) - 1 == len(e.text_ends) - 1 <= 10 + 8
+    assert given.count(b"the") == given.count("théâtre".encode()) == 1 and given.count(b"w3a") == 1

@@ -81,7 +81,8 @@ class Encoder:
     The tokenizers that this is for drop white space and never join what it
     separates, so a text's ids are its words' ids one after another. Words are
     found by hash and compared byte by byte; a word that shares its hash with
-    another one is encoded each time. When ``KEPT_WORDS`` are kept, all are forgotten.
+    another one is encoded each time. When ``KEPT_WORDS`` are kept, those that didn't
+    come again are forgotten; all are if more than half came again.
 
     The tokenizer gets runs of ``RUN`` words, as texts of their own. Where its tokens
     are bytes, the bytes of tokens tell which are a word's; a run whose tokens don't
@@ -108,6 +109,18 @@ class Encoder:
         self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)  # by hash
         self.ids, self.ends = np.empty(0, np.intc), np.zeros(1, np.int64)  # by slot, as the words' bytes
         self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.again = np.empty(0, bool)
+
+    def make_room(self) -> None:
+        again = self.again
+        if again.sum() > KEPT_WORDS // 2:
+            return self.forget()
+        stays, place = again[self.slots], np.cumsum(again) - 1
+        self.hashes, self.slots = self.hashes[stays], place[self.slots[stays]].astype(np.int32)
+        lens, sizes = np.diff(self.ends), np.diff(self.text_ends)
+        self.ids, self.text = self.ids[np.repeat(again, lens)], self.text[np.repeat(again, sizes)]
+        self.ends, self.text_ends = (np.concatenate([[0], np.cumsum(x[again])]) for x in (lens, sizes))
+        self.again = np.zeros(len(self.hashes), bool)
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one word's after another, and how many each has."""
@@ -158,6 +171,7 @@ class Encoder:
         self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
         self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + np.cumsum([len(x) for x in words])])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each with its end id, and where each document's begin."""
@@ -166,12 +180,14 @@ class Encoder:
         first = np.empty(len(unique), np.int64)
         first[back] = np.arange(len(back))  # any of the words that share a hash
         if len(self.hashes) > KEPT_WORDS:
-            self.forget()
+            self.make_room()
         raw = w.data.tobytes()
         cut = lambda which: [raw[a:b] for a, b in zip(w.start[which].tolist(), w.end[which].tolist(), strict=True)]
         at = np.searchsorted(self.hashes, unique)
         at[at == len(self.hashes)] = 0
         held = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
+        if held.any():
+            self.again[self.slots[at[held]]] = True
         new = np.flatnonzero(~held)
         short = new[w.end[first[new]] - w.start[first[new]] <= KEPT_BYTES]
         if len(short):
