@@ -284,3 +284,31 @@ def test_helper_columns_dont_clash(spark):
     assert sorted(r["text"] for r in C.fill_max(df, "text").collect()) == ["b a", "c  ", "c  "]
     assert sorted(tuple(r) for r in C.apply_ops(df, "text", "upper", dedupe=True).collect())[0] == ("B A", 1, 7, 1, 2, 3)
     assert sorted(tuple(r) for r in C.apply_ops(df, "text", "upper", out="_out", dedupe=True).collect())[2] == ("c", 2, 9, 1, "C", 3)
+
+
+#: All letters come before it.
+LAST = 0x32400
+
+
+def test_sentences_of_all_characters_equal_sql(spark, tmp_path):
+    signs = [chr(c) for c in range(LAST) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a. {c}b?7{c}; AB{c} c{c}" for c in signs[k : k + 997]) for k in range(0, len(signs), 997)]
+    texts += [None, "", "...", "\n", "ßa. ßb.\x0bßc\r\n!? ß", "ⓐ ⅰͅx. ⓑ", "ΟΔΟΣ ΟΔΟΣ. İİ", "a.b?c!d", "\x00a.\x00b", ".a", "1. \n2 ﬁx"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(path)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{path}/*.parquet'")
+    got, want = dict(QUERIES["case_sentence"](spark, str(tmp_path)).collect()), dict(c.sql(SQL["case_sentence"]).fetchall())
+    assert len(got) == len(want) == len(texts) and [k for k in got if got[k] != want[k]] == []
+
+
+def test_case_of_all_characters_equals_sql(spark, tmp_path):
+    path = str(tmp_path / "signs.parquet")
+    ops = {"lower": "lower(x)", "upper": "upper(x)", "upper.first": "upper(left(x, 1)) || substr(x, 2)"}
+    signs = spark.range(LAST).filter("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    signs.select("id", F.concat("c", F.lit("Σß a"), "c").alias("x")).write.parquet(path)
+    df = spark.read.parquet(path)
+    df.select("id", *(A.ops("x", o).alias(o) for o in ops)).write.parquet(str(tmp_path / "got"))
+    differ = " or ".join(f'"{o}" is distinct from {sql}' for o, sql in ops.items())
+    c = duckdb.connect()
+    assert c.sql(f"select count(*), count(*) filter ({differ}) from '{path}/*.parquet' s join '{tmp_path}/got/*.parquet' g using (id)").fetchall() == [(LAST - 2048, 0)]

@@ -13,7 +13,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, functions as F
 
-from texloom.functions import numbers as N, regexes as R
+from texloom.functions import letters as L, numbers as N, regexes as R
+from texloom.functions.letters import upper_first
 from texloom.plans.chain import ChainError, GroupOps, IfOps, OpCall, match_name, parse_chain, split_bar
 from texloom.plans.pattern import SPLIT_WORDS, parse_pattern
 
@@ -624,25 +625,18 @@ def _num(e, v, arg, opts):
 # case, quotes, white space, parts of strings
 
 
-def upper_first(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
-
-
 @op("upper", options="first sentence")
 def _upper(e, v, arg, opts):
     if "first" in opts:
         return v.text().each(upper_first)
     if "sentence" in opts:
-        # pieces that start a sentence: up to and with the sign that ends the one before
-        piece = r"[^.?!]*[.?!]+\s*|[^.?!]+$"
-        up = lambda p: F.concat(F.regexp_extract(p, r"^[^\p{L}]*", 0), upper_first(F.regexp_replace(p, r"^[^\p{L}]*", "")))
-        return v.text().each(lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(piece), F.lit(0)), up), ""))
-    return v.text().each(F.upper)
+        return v.text().each(L.upper_sentences)
+    return v.text().each(L.upper)
 
 
 @op("lower")
 def _lower(e, v, arg, opts):
-    return v.text().each(F.lower)
+    return v.text().each(L.lower)
 
 
 #: Words that title.ignore leaves in lower case.
@@ -652,14 +646,14 @@ _SMALL = "a the in on at of for to".split()
 @op("title", options="force ignore")
 def _title(e, v, arg, opts):
     def run(x: Column) -> Column:
-        x = F.lower(x) if "force" in opts else x
+        x = L.lower(x) if "force" in opts else x
         pieces = F.regexp_extract_all(x, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
         if "ignore" not in opts:
-            return F.array_join(F.transform(pieces, upper_first), "")
+            return F.array_join(F.transform(pieces, L.capital), "")
 
         def up(p: Column, i: Column) -> Column:
             before = F.coalesce(F.get(pieces, i - 1), F.lit(":"))
-            return F.when(p.isin(_SMALL) & ~before.rlike(r"[:!?.]\s*$") & (i > 0), p).otherwise(upper_first(p))
+            return F.when(p.isin(_SMALL) & ~before.rlike(r"[:!?.]\s*$") & (i > 0), p).otherwise(L.capital(p))
 
         return F.array_join(F.transform(pieces, up), "")
 
